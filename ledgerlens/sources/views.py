@@ -68,13 +68,18 @@ left join {nation} on n_nationkey = s_nationkey
 left join {customer} on c_custkey = o_custkey
 """
 
+def _cents(c: str) -> str:
+    """Two-decimal text, rounded in double arithmetic so both engines agree on halves."""
+    return f"cast(cast(cast(floor({c} * 100 + cast(0.5 as double)) as bigint) / cast(100 as double) as decimal(18,2)) as string)"
+
+
 _PATHS = (
     ("po_number", "po_number"), ("po_date", "po_date"), ("due_date", "due_date"),
     ("payment_terms", "payment_terms"), ("currency", "currency"), ("vendor.name", "vendor_name"),
     ("vendor.email", "vendor_email"), ("buyer.name", "buyer_name"),
-    ("totals.subtotal", "cast(cast(subtotal as decimal(18,2)) as string)"),
-    ("totals.shipping", "cast(cast(shipping as decimal(18,2)) as string)"),
-    ("totals.grand_total", "cast(cast(grand_total as decimal(18,2)) as string)"),
+    ("totals.subtotal", _cents("subtotal")),
+    ("totals.shipping", _cents("shipping")),
+    ("totals.grand_total", _cents("grand_total")),
 )
 _LONG = (
     "select document_id, k, case k "
@@ -109,7 +114,7 @@ select document_id,
        case document_id % 6
             when 0 then body || '»'
             when 1 then 'Sure.' || chr(10) || '```json' || chr(10) || body || '»' || chr(10) || '```'
-            when 2 then 'Here it is: ' || body || '» Anything else?'
+            when 2 then 'Here it is: ' || body || '» Anything else? «no»'
             when 3 then substring(body, 1, length(body) - 11)
             when 4 then body || ', "currency": "' || currency || '"»'
             else body || ', "x": »' end as raw_response
@@ -120,7 +125,7 @@ from (select document_id, currency,
              || cast(cast((document_id * 3) % 150 as double) / cast(100 as double) as string) || '"», '
              || '"payment_terms": "' || payment_terms || '", '
              || '"totals.grand_total": «"value": '
-             || coalesce(cast(cast(grand_total as decimal(18,2)) as string), 'null')
+             || coalesce([grand_total], 'null')
              || ', "confidence": "high"»' as body
       from ({fx_po}) po) built
 """
@@ -132,7 +137,7 @@ select document_id,
        'Due ' || coalesce(due_date, '') || chr(10) || 'Terms ' || payment_terms || chr(10) ||
        case when document_id % 2 = 1 then '' else 'From ' || coalesce(vendor_name, '') || chr(10) end ||
        'Buyer ' || coalesce(buyer_name, '') || chr(10) ||
-       'Total ' || coalesce(cast(cast(grand_total as decimal(18,2)) as string), '') || ' ' || currency as ocr_text
+       'Total ' || coalesce([grand_total], '') || ' ' || currency as ocr_text
 from ({fx_po}) po
 """
 
@@ -234,8 +239,9 @@ from {conversations}
 """
 
 
-#: the one construct the two dialects spell differently
+#: shorthands, among them the one construct the two dialects spell differently
 _DIALECT = {
+    "[grand_total]": dict.fromkeys(("spark", "duck"), _cents("grand_total")),
     "[one_to_eleven]": {"spark": "explode(sequence(1, 11))", "duck": "unnest(range(1, 12))"},
 }
 

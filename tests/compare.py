@@ -91,7 +91,7 @@ def main(argv):
         try:
             ok, note = check(spark, con, sf_dir, name, run, oracle.get(name))
         except Exception:
-            ok, note = False, traceback.format_exc()[-1500:]
+            ok, note = False, traceback.format_exc(limit=-3)[:1800]
         print(("ok   " if ok else "FAIL ") + name + ": " + note, flush=True)
         if not ok:
             bad.append(name)
