@@ -10,7 +10,7 @@ from ledgerlens.constants import EMAIL_PATTERN
 
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace at both ends (``trim`` takes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def clean_string(c: Column) -> Column:

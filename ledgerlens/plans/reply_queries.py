@@ -165,12 +165,13 @@ def merge_passes(spark, d):
     return merged(spark, d).drop("value_type", "raw_text")
 
 
-@query(f"""select document_id, field_path, value, confidence,
-  confidence < 0.75 as flagged, case when confidence < 0.75 then 'low_confidence' end as review_reason
-  from {PRIMARY} p""")
+@query(f"""select document_id, field_path, value, confidence, confidence < 0.75 and o_orderstatus = 'F' as flagged,
+  case when confidence < 0.75 and o_orderstatus = 'F' then 'low_confidence' end as review_reason
+  from {PRIMARY} p join orders on o_orderkey = document_id""")
 def flag_unescalated(spark, d):
-    """The first pass starts without flags; every document's escalation failed."""
-    failed = view(spark, d, "fx_po").select("document_id")
+    """The second pass could not run for the orders of one status."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    failed = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id"))
     out = P.flag_unescalated(view(spark, d, "fx_primary"), failed)
     return out.select("document_id", "field_path", "value", "confidence", "flagged", "review_reason")
 

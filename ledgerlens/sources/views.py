@@ -239,9 +239,24 @@ from {conversations}
 """
 
 
-#: shorthands, among them the one construct the two dialects spell differently
+# cells of the item table of a purchase order: five text lines per item row, in pixels
+VIEWS["fx_po_lines"] = """
+select document_id, cast(floor(pos / 40) as int) + 1 as page, pos * 5 + cell as line_idx, text,
+       cast(72 + cell * 120 as double) as x0, cast(72 + 18 * (pos % 40) as double) as y0,
+       cast(72 + cell * 120 + 6 * length(text) as double) as x1, cast(86 + 18 * (pos % 40) as double) as y1,
+       cast(0.9 as double) as ocr_confidence
+from (select document_id, pos, cell,
+             case cell when 0 then description when 1 then part_number
+                  when 2 then cast(quantity as string) || ' pcs' when 3 then '$ ' || cast(unit_price as string)
+                  else cast(line_total as string) || ' USD' end as text
+      from (select *, [zero_to_four] as cell from ({fx_items}) i) c) t
+where text is not null
+"""
+
+#: shorthands, among them the construct the two dialects spell differently
 _DIALECT = {
     "[grand_total]": dict.fromkeys(("spark", "duck"), _cents("grand_total")),
+    "[zero_to_four]": {"spark": "explode(sequence(0, 4))", "duck": "unnest(range(0, 5))"},
     "[one_to_eleven]": {"spark": "explode(sequence(1, 11))", "duck": "unnest(range(1, 12))"},
 }
 
