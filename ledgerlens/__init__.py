@@ -1,7 +1,13 @@
 """Document-extraction analytics as Spark DataFrame operators.
 
-Every operator takes DataFrames and returns a DataFrame; nothing in the package
-runs an action on the caller's data except the streaming sinks, which own their
-query, and the size check in :func:`ledgerlens.session.small_enough`, which reads
-plan statistics only.
+Every operator takes DataFrames and returns a DataFrame; none runs an action on the
+caller's data except the streaming sinks, which own their query.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# the few Python functions travel to executors inside the job, so workers need no
+# installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

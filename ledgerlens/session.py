@@ -1,4 +1,4 @@
-"""Session defaults and the few runtime decisions operators share."""
+"""Session defaults and the few planning decisions operators share."""
 
 from __future__ import annotations
 
@@ -17,6 +17,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Spark's default target size of a coalesced partition
+ADVISORY_PARTITION_BYTES = 64 << 20
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable defaults to an existing session."""
@@ -27,7 +30,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (no job is run)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def too_few_tasks(df: DataFrame) -> bool:
+    """Whether size-based coalescing would leave fewer tasks than ``shuffle.partitions``."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plan_bytes(df) < tasks * ADVISORY_PARTITION_BYTES
 
 
 def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
