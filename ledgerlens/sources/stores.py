@@ -1,0 +1,58 @@
+"""Result, correction and job stores as partitioned parquet tables.
+
+Writes append; the current state is the latest row per key. Rows land in hash
+buckets of the key, so a lookup by key reads one bucket folder, and neither a folder
+per id nor a rewrite per update is needed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerlens.operators.frames import latest
+
+BUCKETS = 64
+
+
+class Store:
+    """An append-only table with last-write-wins reads."""
+
+    def __init__(self, path: str, key: str, order: tuple[str, ...] = ("updated_at", "seq"), buckets: int = BUCKETS):
+        self.path, self.key, self.order, self.buckets = path, key, list(order), buckets
+
+    def _bucket(self, value):
+        return F.pmod(F.xxhash64(value.cast("string")), F.lit(self.buckets)).cast("int")
+
+    def save(self, rows: DataFrame) -> None:
+        """Append rows; the same call serves first writes and updates."""
+        rows.withColumn("bucket", self._bucket(F.col(self.key))).write.mode("append").partitionBy("bucket").parquet(self.path)
+
+    def history(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path).drop("bucket")
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        return latest(self.history(spark), [self.key], self.order)
+
+    def get(self, spark: SparkSession, value) -> DataFrame:
+        """Rows of one key, newest first; the bucket filter prunes to one folder."""
+        key = F.lit(value)
+        hit = spark.read.parquet(self.path).filter(
+            (F.col("bucket") == self._bucket(key)) & (F.col(self.key).cast("string") == key.cast("string")))
+        return hit.drop("bucket").orderBy(*[F.col(c).desc() for c in self.order])
+
+
+def result_store(path: str) -> Store:
+    return Store(path, "result_id")
+
+
+def document_index(spark: SparkSession, results: Store) -> DataFrame:
+    """Current result of every document: the secondary index, as a derived table."""
+    return latest(results.history(spark).select("document_id", "result_id", *results.order), ["document_id"], results.order)
+
+
+def correction_store(path: str) -> Store:
+    return Store(path, "document_id", order=("seq",))
+
+
+def job_store(path: str) -> Store:
+    return Store(path, "job_id", order=("ts", "seq"))

@@ -27,7 +27,9 @@ select l_orderkey as document_id,
        p_name as description,
        cast(l_partkey as string) as part_number,
        l_quantity as quantity,
-       case when l_partkey % 2 = 0 then round(l_extendedprice / l_quantity, 2) else p_retailprice end as unit_price,
+       case when l_partkey % 2 = 0
+            then floor(l_extendedprice / l_quantity * 100 + cast(0.5 as double)) / cast(100 as double)
+            else p_retailprice end as unit_price,
        case when l_partkey % 29 = 0 then null else l_extendedprice end as line_total,
        l_tax as tax_rate,
        case when l_suppkey % 31 = 0 then 'EUR' else 'USD' end as currency,
