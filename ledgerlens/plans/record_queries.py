@@ -397,7 +397,10 @@ def stream_corrections(spark, d):
     return ST.read_back(spark, table, keys=["document_id", "field_path"])
 
 
-@query()
+@query(f"""select job_id, seq, status, null as error_message from {JOBS} j
+  union all select job_id, seq, 'failed', 'Timed out after 600s.' from (
+    select *, lead(ts) over (partition by job_id order by ts, seq) next_ts from {JOBS} j) x
+  where status = 'processing' and epoch_ms(next_ts) - epoch_ms(ts) > 600000""")
 def stream_job_tracker(spark, d):
     """State changes and timeouts from keyed state with expiry."""
     table, _ = ST.run_available(ST.track_jobs(_stream_view(spark, d, "fx_jobs", "events")), "tracker", one_batch=True)
