@@ -9,20 +9,26 @@ from ledgerlens.constants import (
 )
 from ledgerlens.functions.text import strip
 
+_DIGITS = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 #: what counts as a number; keeps Java's ``5d`` and similar suffixes out
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = rf"^{_DIGITS}$"
+_PLAIN = rf"^\s*{_DIGITS}\s*$"
 
 
 def guarded_double(c: Column) -> Column:
-    trimmed = strip(c)
-    return F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
+    """Number text to double, anything else to null. The cast ignores outer blanks."""
+    return F.when(c.rlike(_PLAIN), c.try_cast("double"))
 
 
 def to_number(c: Column) -> Column:
     """Money text to double (F2): currency signs, three-letter codes and
-    thousands commas removed; anything else left over gives null."""
+    thousands commas removed; anything else left over gives null.
+
+    Text that is a number already takes one pattern match and no cleaning.
+    """
     bare = F.regexp_replace(F.regexp_replace(c, CURRENCY_SYMBOLS, ""), CURRENCY_CODE, "")
-    return guarded_double(F.replace(bare, F.lit(","), F.lit("")))
+    cleaned = guarded_double(strip(F.replace(bare, F.lit(","), F.lit(""))))
+    return F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(cleaned)
 
 
 def coerce_confidence(c: Column) -> Column:

@@ -38,11 +38,13 @@ def parse_line_items(raw: DataFrame, column: str = "raw") -> DataFrame:
         F.when(F.col("_kind") == "array", F.from_json(column, "array<variant>"))
         .when(F.col("_kind") == "object", F.array("_v"))
     )
-    rows = parsed.select(*keys, "_kind", F.posexplode_outer(elements).alias("_pos", "_e"))
+    # one look at the text spares every field of ordinary items the second lookup
+    maybe_wrapped = F.contains(F.col(column), F.lit('"value"')).alias("_wrapped")
+    rows = parsed.select(*keys, "_kind", maybe_wrapped, F.posexplode_outer(elements).alias("_pos", "_e"))
 
     def part(name: str) -> Column:
-        inner = F.try_variant_get("_e", f"$.{name}.value", "variant")
-        return F.when(inner.isNotNull(), F.try_variant_get("_e", f"$.{name}.value", "string")).otherwise(
+        inside = F.col("_wrapped") & F.try_variant_get("_e", f"$.{name}.value", "variant").isNotNull()
+        return F.when(inside, F.try_variant_get("_e", f"$.{name}.value", "string")).otherwise(
             F.try_variant_get("_e", f"$.{name}", "string"))
 
     numbers = ("quantity", "unit_price", "line_total", "tax_rate")

@@ -11,7 +11,7 @@ from ledgerlens.plans.reply_queries import MERGED, merged
 from ledgerlens.plans.rule_queries import ALL_FLAGS_SQL, ITEMS, PO
 from ledgerlens.sinks import exports as E
 from ledgerlens.sources import files as S
-from ledgerlens.sources.views import AS_OF, duck, sql_text, view
+from ledgerlens.sources.views import AS_OF, duck, sql_text, table, view
 from ledgerlens.streaming import streams as ST
 
 CORR, APPR, JOBS, FILES, MAIL = (duck(n) for n in ("fx_corrections", "fx_approvals", "fx_jobs", "fx_files", "fx_mail"))
@@ -159,7 +159,7 @@ def correction_history(spark, d):
 @query(f"select user_id as result_id, max(ts) as updated_at, cast(arg_max(event_id, struct_pack(a := ts, b := event_id)) as bigint) as seq, "
        "arg_max(event_type, struct_pack(a := ts, b := event_id)) as state from events group by user_id")
 def latest_result(spark, d):
-    versions = spark.read.parquet(f"{d}/events.parquet").select(
+    versions = table(spark, d, "events").select(
         F.col("user_id").alias("result_id"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
     return V.latest_results(versions)
 
@@ -309,7 +309,7 @@ def job_state(spark, d):
 @query(f"""select s.*, o_totalprice as amount, o_orderstatus as result_status from {STATE} s left join orders on o_orderkey = job_id
   order by created_at desc, job_id desc limit 100""")
 def jobs_dashboard(spark, d):
-    found = spark.read.parquet(f"{d}/orders.parquet").select(
+    found = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("result_status"))
     return J.jobs_dashboard(J.current_jobs(view(spark, d, "fx_jobs")), found)
 
@@ -371,14 +371,14 @@ def _stream_view(spark, d, name, table):
 @query(f"""select doc_id, filename, declared_type, detected_type, reject_reason,
   case when reject_reason is null then 'pending' else 'failed' end as job_status from {ADMITTED} a""")
 def stream_ingest(spark, d):
-    table, _ = ST.run_available(ST.ingest(_stream_view(spark, d, "fx_files", "documents")), "ingest")
-    return ST.read_back(spark, table).select("doc_id", "filename", "declared_type", "detected_type", "reject_reason", "job_status")
+    folder, _ = ST.run_available(ST.ingest(_stream_view(spark, d, "fx_files", "documents")), "ingest")
+    return ST.read_back(spark, folder).select("doc_id", "filename", "declared_type", "detected_type", "reject_reason", "job_status")
 
 
 @query(f"select * from {STATE} s")
 def stream_jobs(spark, d):
-    table, _ = ST.run_available(ST.job_state(_stream_view(spark, d, "fx_jobs", "events")), "jobs", mode="update")
-    return ST.read_back(spark, table, keys=["job_id"])
+    folder, _ = ST.run_available(ST.job_state(_stream_view(spark, d, "fx_jobs", "events")), "jobs", mode="update")
+    return ST.read_back(spark, folder, keys=["job_id"])
 
 
 @query(f"select seq, count(*) as n from {JOBS} j group by seq")
@@ -386,15 +386,15 @@ def stream_dedupe(spark, d):
     """Every event is delivered twice; one copy is kept."""
     events = _stream_view(spark, d, "fx_jobs", "events")
     twice = events.union(events)
-    table, _ = ST.run_available(ST.dedupe_jobs(twice, ["seq"]), "dedupe")
-    return ST.read_back(spark, table).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    folder, _ = ST.run_available(ST.dedupe_jobs(twice, ["seq"]), "dedupe")
+    return ST.read_back(spark, folder).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select document_id, field_path, corrected_value, reviewer_id, seq from {CORR} c")
 def stream_corrections(spark, d):
     stream = _stream_view(spark, d, "fx_corrections", "labels")
-    table, _ = ST.upsert_corrections(stream)
-    return ST.read_back(spark, table, keys=["document_id", "field_path"])
+    folder, _ = ST.upsert_corrections(stream)
+    return ST.read_back(spark, folder, keys=["document_id", "field_path"])
 
 
 @query(f"""select job_id, seq, status, null as error_message from {JOBS} j
@@ -403,5 +403,5 @@ def stream_corrections(spark, d):
   where status = 'processing' and epoch_ms(next_ts) - epoch_ms(ts) > 600000""")
 def stream_job_tracker(spark, d):
     """State changes and timeouts from keyed state with expiry."""
-    table, _ = ST.run_available(ST.track_jobs(_stream_view(spark, d, "fx_jobs", "events")), "tracker", one_batch=True)
-    return ST.read_back(spark, table)
+    folder, _ = ST.run_available(ST.track_jobs(_stream_view(spark, d, "fx_jobs", "events")), "tracker", one_batch=True)
+    return ST.read_back(spark, folder)

@@ -8,7 +8,7 @@ from ledgerlens.catalog import REQUESTED
 from ledgerlens.operators import passes as P, replies as R
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.rule_queries import NUM
-from ledgerlens.sources.views import duck, view
+from ledgerlens.sources.views import duck, table, view
 
 REPLIES, TEXTS = duck("fx_replies"), duck("fx_po_text")
 PRIMARY, FALLBACK = duck("fx_primary"), duck("fx_fallback")
@@ -170,7 +170,7 @@ def merge_passes(spark, d):
   from {PRIMARY} p join orders on o_orderkey = document_id""")
 def flag_unescalated(spark, d):
     """The second pass could not run for the orders of one status."""
-    orders = spark.read.parquet(f"{d}/orders.parquet")
+    orders = table(spark, d, "orders")
     failed = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id"))
     out = P.flag_unescalated(view(spark, d, "fx_primary"), failed)
     return out.select("document_id", "field_path", "value", "confidence", "flagged", "review_reason")
@@ -216,6 +216,6 @@ def route_primary(spark, d):
     health = P.health_asof(_asked(spark, d), view(spark, d, "fx_health"), ttl_seconds=900)
     up = lambda p: F.coalesce(F.bool_or(F.when(F.col("provider") == p, F.col("ok"))), F.lit(False))
     state = health.groupBy("document_id").agg(up("local").alias("local_ok"), up("groq").alias("remote_ok"))
-    quality = spark.read.parquet(f"{d}/events.parquet").select(
+    quality = table(spark, d, "events").select(
         F.col("event_id").alias("document_id"), (F.col("value") / F.lit(100).cast("double")).alias("quality"))
     return P.choose_primary(state.join(quality, "document_id"))

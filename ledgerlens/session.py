@@ -39,13 +39,16 @@ def too_few_tasks(df: DataFrame) -> bool:
     return plan_bytes(df) < tasks * ADVISORY_PARTITION_BYTES
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the plan's own size estimate is under ``limit``.
+def spread_small(df: DataFrame, at_least: int = 1 << 20) -> DataFrame:
+    """Spread a small stored table over the session's tasks.
 
-    Beyond it the frame is returned untouched and the join shuffles, with AQE
-    splitting skewed partitions.
+    A file with a single row group is read by one task, and everything up to the next
+    shuffle would run there. Pruning and filters still reach the scan. A table large
+    enough to fill the tasks, or too small to matter, is returned as it is.
     """
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    if plan_bytes(df) < at_least or not too_few_tasks(df):
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def work_dir(spark: SparkSession) -> str:
