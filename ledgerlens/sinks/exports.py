@@ -113,9 +113,13 @@ def export_csv(header: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, byte_order_mark: bool = False) -> None:
-    """Write export rows, sorted within files; quotes are doubled, lines end in CRLF."""
+    """Write export rows in document order; quotes are doubled, lines end in CRLF.
+
+    Ranges of (document, position) rather than whole documents go to a file, so a very
+    long order is spread over several.
+    """
     columns = [*CSV_HEADER, *CSV_ITEM]
-    out = rows.repartition("document_id").sortWithinPartitions("document_id", "pos").select(*columns)
+    out = rows.repartitionByRange("document_id", "pos").sortWithinPartitions("document_id", "pos").select(*columns)
     if byte_order_mark:
         out = out.withColumnRenamed(columns[0], "﻿" + columns[0])
     out.write.mode("overwrite").option("header", "true").option("lineSep", "\r\n").option("quote", '"').option(
