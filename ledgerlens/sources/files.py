@@ -13,7 +13,8 @@ def scan_documents(spark: SparkSession, path: str, pattern: str = "*", with_cont
     """Stored documents, one folder per document id.
 
     Without ``with_content`` the bytes are pruned from the scan and only the listing
-    is read. ``header_hex`` needs the first bytes only but still reads the file.
+    is read. ``header_hex`` needs the first bytes only but still reads the file. Spark's
+    source passes over files without a byte.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return named_files(files, with_content)

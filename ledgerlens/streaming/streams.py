@@ -19,6 +19,8 @@ from ledgerlens.operators.jobs import current_jobs
 from ledgerlens.session import work_dir
 from ledgerlens.sources.files import admit_files, named_files
 
+#: the columns of Spark's ``binaryFile`` source, which a stream has to be told
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,9 +33,10 @@ def read_table(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def read_landing(spark: SparkSession, path: str, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:
-    """New files of a landing folder with their header bytes."""
+    """New files of a landing folder with their header bytes (T1). The source passes over
+    files without a byte, so those never become rows."""
     files = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+        spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
     )
     return named_files(files).drop("content")
