@@ -22,13 +22,9 @@ LINE_ITEM_BOX_CONFIDENCE = 0.92
 RENDER_DPI = 150.0
 
 # --- enumerations (stored as strings) --------------------------------------
-JOB_STATUSES = ("pending", "processing", "complete", "failed")
 TERMINAL_STATUSES = ("complete", "failed")
 MODEL_SOURCES = ("local", "claude", "groq", "human")
-MATCH_METHODS = ("exact", "fuzzy", "llm_hint", "unresolved")
 REVIEW_REASONS = ("low_confidence", "model_disagreement", "validation_failure", "missing_required")
-EXPORT_FORMATS = ("json", "csv", "xml")
-APPROVAL_STATUSES = ("pending", "approved", "rejected")
 
 # --- file types -------------------------------------------------------------
 ALLOWED_MIME_TYPES = ("application/pdf", "image/jpeg", "image/png", "image/tiff", "image/webp")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.constants import EXPECTED_FIELDS, PAYMENT_WORDS, REQUIRED_FIELDS
+from ledgerlens.constants import EXPECTED_FIELDS, MODEL_SOURCES, PAYMENT_WORDS, REQUIRED_FIELDS, REVIEW_REASONS
 from ledgerlens.functions import numbers as N, text as T
 from ledgerlens.operators.frames import with_columns_present
 
@@ -278,8 +278,11 @@ def item_violations(items: DataFrame) -> DataFrame:
 
 
 def field_violations(fields: DataFrame) -> DataFrame:
-    """Confidence outside [0, 1], or a flag without a reason."""
+    """Confidence outside [0, 1], a flag without a reason, an unknown source or reason."""
+    fields = with_columns_present(fields, {"source_model": "string"})
     reasons = [
+        F.when(~F.col("source_model").isin(*MODEL_SOURCES), F.lit("unknown source")),
+        F.when(~F.col("review_reason").isin(*REVIEW_REASONS), F.lit("unknown review reason")),
         F.when(~F.col("confidence").between(0.0, 1.0) | F.col("confidence").isNull(), F.lit("confidence outside [0, 1]")),
         F.when(F.col("flagged") & F.col("review_reason").isNull(), F.lit("flag without a reason")),
     ]

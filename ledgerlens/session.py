@@ -33,10 +33,10 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def too_few_tasks(df: DataFrame) -> bool:
-    """Whether size-based coalescing would leave fewer tasks than ``shuffle.partitions``."""
+def too_few_tasks(df: DataFrame, per_task: int = ADVISORY_PARTITION_BYTES) -> bool:
+    """Whether ``df`` is under ``per_task`` bytes for each of the session's shuffle tasks."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return plan_bytes(df) < tasks * ADVISORY_PARTITION_BYTES
+    return plan_bytes(df) < tasks * per_task
 
 
 def spread_small(df: DataFrame, at_least: int = 1 << 20) -> DataFrame:
