@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Settings every job here relies on; a cluster profile may raise the sizes.
@@ -54,11 +52,10 @@ def spread_small(df: DataFrame, at_least: int = 1 << 20) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for stream checkpoints and written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) is a temporary folder made and recorded in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests) a
+    folder below the session's warehouse is used, which every executor shares too.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ledgerlens_work"
     return configured.rstrip("/")
