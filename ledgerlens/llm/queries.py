@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import secrets, shards
+from ledgerlens.llm import decontaminate, secrets, shards, url_rules
 from ledgerlens.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (secrets, shards):
+for _module in (decontaminate, secrets, shards, url_rules):
     QUERIES |= _module.QUERIES
