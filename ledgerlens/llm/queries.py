@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontaminate, language, secrets, shards, url_rules
+from ledgerlens.llm import decontaminate, language, packing, secrets, shards, url_rules
 from ledgerlens.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (decontaminate, language, secrets, shards, url_rules):
+for _module in (decontaminate, language, packing, secrets, shards, url_rules):
     QUERIES |= _module.QUERIES
