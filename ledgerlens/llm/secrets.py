@@ -80,16 +80,16 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows of ``blobs`` (blob_id, text, kinds: array of the rules to apply)."""
     pieces = F.array(*[_matches(F.col("text"), r, F.array_contains("kinds", r.kind)) for r in rules])
     scanned = blobs.select("blob_id", F.inline(pieces)).where("wanted")
-    # one row for each match; spans are running sums inside (blob, rule)
-    rows = scanned.where(F.size("sizes") > 0).select(
-        "blob_id", "kind", "version", "least", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("sizes")).alias("gap"), F.col("sizes").alias("size"), F.col("decides").alias("decides"))).alias("n", "m"),
-    ).select("blob_id", "kind", "version", "least", "n", "m.*")
-    end = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("blob_id", "kind").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    found = rows.withColumn("end", end.cast("int")).where("decides >= least").groupBy("blob_id", "kind", "version").agg(
-        F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("size")).cast("int").alias("start"), "end"))).alias("findings"))
-    clean = F.array().cast(f"array<{FINDING}>")
-    return scanned.select("blob_id", "kind", "version").join(found, ["blob_id", "kind", "version"], "left").select(
-        "blob_id", "kind", "version", F.coalesce("findings", clean).alias("findings"))
+    # one row for each match, or one for a clean blob and rule; spans are running sums inside (blob, rule).
+    # blobs come hashed by their id, which serves the window and the grouping as well
+    match = F.arrays_zip(F.slice("gaps", 1, F.size("sizes")).alias("gap"), F.col("sizes").alias("size"), F.col("decides").alias("decides"))
+    rows = scanned.select("blob_id", "kind", "version", "least", F.posexplode_outer(match).alias("n", "m")).select(
+        "blob_id", "kind", "version", "least", "n", "m.*")
+    here = W.partitionBy("blob_id", "kind", "version").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(here).cast("int"))
+    span = F.struct((F.col("end") - F.col("size")).cast("int").alias("start"), "end")
+    return rows.groupBy("blob_id", "kind", "version").agg(
+        F.sort_array(F.collect_list(F.when(F.col("decides") >= F.col("least"), span))).alias("findings"))
 
 
 def unseen(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
