@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import captures, decontaminate, language, near_text, packing, secrets, shards, url_rules
+from ledgerlens.llm import captures, decontaminate, language, near_text, near_vectors, packing, secrets, shards, url_rules
 from ledgerlens.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (captures, decontaminate, language, near_text, packing, secrets, shards, url_rules):
+for _module in (captures, decontaminate, language, near_text, near_vectors, packing, secrets, shards, url_rules):
     QUERIES |= _module.QUERIES
