@@ -230,7 +230,8 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         part = classes.where(F.col("dim") == dim)
         size = part.count()
         lists = int(min(MAX_LISTS, max(1, np.sqrt(size) / 2)))
-        picked = part.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).collect()  # the bounded fitting sample
+        h = F.xxhash64("embedding")  # one vector for each of so many hash cells: the bounded fitting sample
+        picked = part.groupBy(F.pmod(h, F.lit(sample))).agg(F.min_by("embedding", F.struct(h, "cls")).alias("embedding")).collect()
         x = np.array([r["embedding"] for r in picked], np.float64)
         model = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), lists))
         index = stored(part.select("cls", "weight", "embedding").mapInArrow(_index(model, probes), _INDEX), "index")

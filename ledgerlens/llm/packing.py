@@ -123,11 +123,17 @@ def patterns(capacity: int, have: np.ndarray) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 3)
 
 
-def fit(pattern: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - h|: accelerated projected gradient, A as index triples."""
+def fit(pattern: np.ndarray, histogram: np.ndarray, power: float = 1.0, steps: int = STEPS) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |W (A x - h)|: accelerated projected gradient, A as index triples.
+
+    W weighs a length by its share of a sequence to the ``power``: a long piece left over costs
+    a sequence, a short one fits anywhere.
+    """
     size = len(histogram)
     flat = pattern.ravel()
-    weight = (pattern > 0).ravel().astype(float)
+    share = (np.arange(size) / (size - 1)) ** power
+    weight = (pattern > 0).ravel() * share[flat]
+    histogram = histogram * share
     use = lambda x: np.bincount(flat, np.repeat(x, pattern.shape[1]) * weight, size)
     back = lambda r: (r[flat] * weight).reshape(pattern.shape).sum(1)
     v = np.ones(len(pattern))
@@ -175,25 +181,35 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [(content, many) for g in open_.values() for content, many in g.items()]
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that use up ``histogram`` (count of each length, from 0 to capacity)."""
+def _rounded(pattern: np.ndarray, x: np.ndarray, histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as fitted and as pieces last, the most frequent first; then the residual."""
     left = histogram.astype(np.int64).copy()
     out = []
-    pattern = patterns(capacity, left > 0)
-    if len(pattern):
-        x = fit(pattern, left.astype(float))
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 1:
-                break
-            lengths = pattern[i][pattern[i] > 0]
-            kinds, need = np.unique(lengths, return_counts=True)
-            many = int(min(np.floor(x[i]), (left[kinds] // need).min()))
-            if many:
-                left[kinds] -= many * need
-                out.append((tuple(int(n) for n in lengths), many))
+    for i in np.argsort(-x, kind="stable"):
+        if x[i] < 1:
+            break
+        lengths = pattern[i][pattern[i] > 0]
+        kinds, need = np.unique(lengths, return_counts=True)
+        many = int(min(np.floor(x[i]), (left[kinds] // need).min()))
+        if many:
+            left[kinds] -= many * need
+            out.append((tuple(int(n) for n in lengths), many))
     return out + best_fit(left, capacity)
 
 
+#: Weights of the fit and shares of the fitted counts that are tried; the plan with the fewest sequences is taken.
+POWERS, SHARES = (1.0, 0.5), (1.0, 0.75, 0.5)
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) that use up ``histogram`` (count of each length, from 0 to capacity)."""
+    pattern = patterns(capacity, histogram > 0)
+    if not len(pattern):
+        return best_fit(histogram, capacity)
+    plans = [_rounded(pattern, x * share, histogram, capacity) for p in POWERS for x in [fit(pattern, histogram, p)] for share in SHARES]
+    return min(plans, key=lambda made: sum(n for _, n in made))
+
+
 def _slots(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: first rank, first sequence and offset of every slot group, by rank."""
     rows: dict[int, list[tuple[int, int, int]]] = {}

@@ -113,7 +113,7 @@ def scan(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
 
     The new rows are written once to the shared folder; append them to the ledger.
     """
-    addressed = versions.withColumn("blob_id", blob_id(F.col(text)))
+    addressed = versions.drop("findings").withColumn("blob_id", blob_id(F.col(text)))
     new = stored(scan_blobs(unseen(addressed.select("blob_id", F.coalesce(F.col(text), F.lit("")).alias("text")), rules, ledger), rules), "ledger")
     rows = new if ledger is None else ledger.select(*new.columns).unionByName(new)
     order = F.array_position(F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules]), F.concat_ws(":", "kind", "version"))

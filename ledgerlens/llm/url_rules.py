@@ -47,8 +47,10 @@ def host_key(host: Column) -> Column:
 
 
 def _bounds(keyed: DataFrame, parts: int) -> list[tuple[str, int]]:
-    picked = keyed.select("key", "salt").orderBy("salt", "key").limit(BOUND_SAMPLE).collect()  # bounded sample
-    # the smallest salts: spread them again, so that equal keys can be cut
+    # one key for each of so many hash cells: a bounded sample, taken before anything reaches the driver
+    cell = F.pmod("salt", F.lit(BOUND_SAMPLE))
+    picked = keyed.groupBy(cell).agg(F.min_by("key", F.struct("salt", "key")).alias("key")).collect()
+    # salts of the sample are spread evenly, so that equal keys can be cut
     step = 2**64 // max(1, len(picked))
     ordered = sorted((r["key"], -(2**63) + (i * step)) for i, r in enumerate(picked))
     return [ordered[len(ordered) * i // parts] for i in range(1, parts)] if ordered else []
