@@ -9,17 +9,26 @@ from ledgerlens.constants import (
 )
 from ledgerlens.functions.text import strip
 
-_DIGITS = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+# sizes are bounded so that every match is a finite double
+_DIGITS = r"[+-]?([0-9]{1,200}\.?[0-9]*|\.[0-9]+)([eE][+-]?0*[0-9]{1,2})?"
 #: what counts as a number; keeps Java's ``5d`` and similar suffixes out
 NUMBER = rf"^{_DIGITS}$"
 _PLAIN = rf"^\s*{_DIGITS}\s*$"
 
 
 def guarded_double(c: Column) -> Column:
-    """Number text to double, anything else to null. The cast ignores outer blanks."""
+    """Number text to double, anything else to null. The cast ignores outer blanks.
+
+    Numbers of a hundred digits and more (``1e400``) are null too, so nothing
+    downstream meets an infinity.
+    """
     return F.when(c.rlike(_PLAIN), c.try_cast("double"))
 
 
+def finite(c: Column) -> Column:
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def to_number(c: Column) -> Column:
     """Money text to double (F2): currency signs, three-letter codes and
     thousands commas removed; anything else left over gives null.
@@ -60,5 +69,27 @@ def parse_date(c: Column) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Order-independent sum of money held as double."""
-    return F.sum(c.cast("decimal(28,6)")).cast("double")
+    """Order-independent sum of money held as double.
+
+    Amounts that no decimal of this size holds, and sums beyond it, are added as doubles.
+    """
+    exact = c.try_cast("decimal(30,6)")
+    inside = F.coalesce(F.try_sum(exact).cast("double"), F.sum(F.when(exact.isNotNull(), c)))
+    outside = F.sum(F.when(exact.isNull(), c))
+    return F.when(F.count(c) > 0, F.coalesce(inside, F.lit(0.0)) + F.coalesce(outside, F.lit(0.0)))
+
+
+def plain_text(c: Column) -> Column:
+    """A finite double in plain notation with all its digits and at least one decimal."""
+    def shift(shown: Column) -> Column:
+        sign = F.when(shown.startswith("-"), "-").otherwise("")
+        bare = F.ltrim(shown, F.lit("-"))
+        mantissa, power = F.substring_index(bare, "E", 1), F.substring_index(bare, "E", -1).try_cast("int")
+        digits = F.concat(F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "^0$", ""))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        rest = F.substring(digits, power + 2, F.length(digits))
+        large = F.concat(F.rpad(digits, power + 1, "0"), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+        return F.when(~shown.contains("E"), shown).otherwise(F.concat(sign, F.when(power < 0, small).otherwise(large)))
+
+    # the text is used many times over: bound once, it is made once
+    return F.transform(F.array(finite(c).cast("string")), shift)[0]

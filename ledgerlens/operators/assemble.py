@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlens.constants import BUYER, LINE_ITEM, TOP_LEVEL, TOTALS, VENDOR
 from ledgerlens.functions import numbers as N, text as T
@@ -19,7 +21,8 @@ PO_COLUMNS = (
     "currency", "authorized_by", "special_instructions", "vendor", "buyer", "ship_to", "totals", "notes",
     "document_language", "additional_fields",
 )
-ITEMS_PER_PART = 1000
+#: positions whose items are put together before a document is
+ITEMS_PER_BLOCK = 1000
 
 
 # --- line items (P12, P13) ---------------------------------------------------------------
@@ -82,19 +85,19 @@ def rejected_items(parsed: DataFrame) -> DataFrame:
 
 # --- record (P14, A9) ----------------------------------------------------------------------
 
-def build_po(fields: DataFrame) -> DataFrame:
-    """Pivot field rows into the nested record, without items: one shuffle on the document.
+def record_values() -> list[Column]:
+    """Aggregates that pick the record's values out of a document's field rows."""
+    paths = [*TOP_LEVEL, *[f"vendor.{k}" for k in VENDOR], *[f"buyer.{k}" for k in BUYER],
+             *[f"totals.{k}" for k in TOTALS], "additional_fields"]
+    return [F.max(F.when(F.col("field_path") == p, F.col("value"))).alias(p.replace(".", "__")) for p in paths]
+
+
+def record_of(wide: DataFrame, *also: str) -> DataFrame:
+    """The nested record of picked values; ``also`` names further columns to keep.
 
     A section none of whose fields is present stays null. A document currency that is
     not three characters is nulled alone (see ``rules.header_violations``).
     """
-    def value(path: str) -> Column:
-        return F.max(F.when(F.col("field_path") == path, F.col("value"))).alias(path.replace(".", "__"))
-
-    paths = [*TOP_LEVEL, *[f"vendor.{k}" for k in VENDOR], *[f"buyer.{k}" for k in BUYER],
-             *[f"totals.{k}" for k in TOTALS], "additional_fields"]
-    wide = fields.filter(F.col("value").isNotNull()).groupBy("document_id").agg(*[value(p) for p in paths])
-
     def section(name: str, keys: tuple[str, ...], numeric: bool = False) -> Column:
         cols = {k: F.col(f"{name}__{k}") for k in keys}
         made = {k: N.to_number(c) if numeric and k != "currency" else T.clean_string(c) for k, c in cols.items()}
@@ -106,8 +109,13 @@ def build_po(fields: DataFrame) -> DataFrame:
     nested = wide.select(
         "document_id", *[c.alias(k) for k, c in top.items()],
         section("vendor", VENDOR), section("buyer", BUYER), section("totals", TOTALS, numeric=True),
-        F.from_json("additional_fields", "map<string,string>").alias("additional_fields"))
-    return nested.select("document_id", *PO_COLUMNS)
+        F.from_json("additional_fields", "map<string,string>").alias("additional_fields"), *also)
+    return nested.select("document_id", *PO_COLUMNS, *also)
+
+
+def build_po(fields: DataFrame) -> DataFrame:
+    """Pivot field rows into the nested record, without items: one shuffle on the document."""
+    return record_of(fields.filter(F.col("value").isNotNull()).groupBy("document_id").agg(*record_values()))
 
 
 def flat_header(po: DataFrame) -> DataFrame:
@@ -137,25 +145,31 @@ def nest_header(flat: DataFrame) -> DataFrame:
     ).select("document_id", *PO_COLUMNS)
 
 
-def nest_items(po: DataFrame, items: DataFrame, per_part: int = ITEMS_PER_PART) -> DataFrame:
-    """Attach the items as an ordered array (A10).
+def item_columns(items: DataFrame) -> list[Column]:
+    """The item columns in order, missing ones as typed nulls."""
+    return [col_or_null(items, c, t.split()[1]).cast(t.split()[1]).alias(c) for c, t in zip(LINE_ITEM, ITEM_SCHEMA.split(", "))]
 
-    Items are gathered per (document, ``part``) with at most ``per_part`` positions
-    each, so no document, however long, is one group. Ordinary orders have the single
-    part 0; the parts of a longer one put together in order are its whole item list.
-    """
-    columns = [col_or_null(items, c, t.split()[1]).cast(t.split()[1]).alias(c)
-               for c, t in zip(LINE_ITEM, ITEM_SCHEMA.split(", "))]
-    part = F.floor(F.col("pos") / per_part).cast("int").alias("part")
-    gathered = items.select("document_id", part, "pos", F.struct(*columns).alias("_item")).groupBy(
-        "document_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "_item"))).alias("_items"))
-    joined = po.join(gathered, "document_id", "left")
-    line_items = F.coalesce(F.transform("_items", lambda x: x["_item"]), F.array().cast(f"array<struct<{_as_struct()}>>"))
-    return joined.withColumns({"part": F.coalesce("part", F.lit(0)), "line_items": line_items}).drop("_items")
 
+def item_texts(items: DataFrame, text: Column, numbered: Callable[[Column, Column], Column] | None = None,
+               separator: str = "", per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """One text of all items per document in order of ``pos``, and their count (A10).
 
-def _as_struct() -> str:
-    return ",".join(":".join(p.split()) for p in ITEM_SCHEMA.split(", "))
+    ``text`` renders one item; ``numbered(number, text)`` may wrap it with its place, counted from 1.
+    Items are gathered in blocks of positions, blocks are rendered, and only the few block
+    texts of a document meet, so no state holds an order's items one by one.
+    """
+    block = F.floor(F.col("pos") / per_block)
+    gathered = items.select("document_id", block.alias("_block"), "pos", text.alias("_text")).groupBy("document_id", "_block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_text"))), lambda x: x["_text"]).alias("_texts"))
+    if numbered is not None:
+        earlier = W.partitionBy("document_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        gathered = gathered.withColumn("_before", F.coalesce(F.sum(F.size("_texts")).over(earlier), F.lit(0)))
+        shown = F.transform("_texts", lambda x, i: numbered(F.col("_before") + i + 1, x))
+    else:
+        shown = F.col("_texts")
+    blocks = gathered.select("document_id", "_block", F.size("_texts").alias("_n"), F.array_join(shown, separator).alias("_joined"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_joined"))), lambda b: b["_joined"])
+    return blocks.groupBy("document_id").agg(F.array_join(whole, separator).alias("items_text"), F.sum("_n").alias("items_count"))
 
 
 # --- result (A2, A3, A10) -----------------------------------------------------------------------
@@ -185,23 +199,39 @@ def field_map(fields: DataFrame) -> DataFrame:
     return fields.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("fields"))
 
 
-def assemble_results(po: DataFrame, fields: DataFrame, flags: DataFrame, routing: DataFrame | None = None) -> DataFrame:
-    """One result row per document: record, weakest confidence, review list, severity counts.
+def assemble_results(fields: DataFrame, flags: DataFrame, items: DataFrame | None = None, routing: DataFrame | None = None) -> DataFrame:
+    """One result row per document: record, weakest confidence, review list, field map, flags, severity counts.
 
-    ``routing`` may add per-document columns (primary model, timing, ...). All joins are
-    on ``document_id``.
+    Fields are grouped once for the record, the score, the flagged set and the field map, flags once for
+    their list, counts and named fields. Rows named ``line_items.N`` count in the score and
+    in no list. ``items`` adds the items as one JSON array text; ``routing`` may add per-document
+    columns (primary model, timing, ...). All joins are on ``document_id``.
     """
-    from ledgerlens.operators.rules import severity_counts
-
-    out = (
-        po.join(overall_confidence(fields), "document_id", "left")
-        .join(flagged_fields(fields, flags), "document_id", "left")
-        .join(severity_counts(flags), "document_id", "left")
-        .withColumns({
-            "overall_confidence": F.coalesce("overall_confidence", F.lit(0.0)),
-            "fields_flagged": F.coalesce("fields_flagged", F.array().cast("array<string>")),
-            "errors": F.coalesce("errors", F.lit(0)), "warnings": F.coalesce("warnings", F.lit(0))})
-    )
+    item_row = F.col("field_path").startswith("line_items.")
+    entry = F.struct("field_path", F.struct("value", "confidence", F.col("source_model").alias("source")))
+    weakest = F.min(F.when(F.col("value").isNotNull(), F.col("confidence")))
+    grouped = fields.groupBy("document_id").agg(
+        *record_values(), F.count("value").alias("_values"),
+        F.round(F.coalesce(weakest, F.lit(0.0)), 3).alias("overall_confidence"),
+        F.collect_set(F.when(F.col("flagged") & ~item_row, F.col("field_path"))).alias("_flagged"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~item_row, entry)))).alias("fields"))
+    po = record_of(grouped.filter("_values > 0"), "overall_confidence", "_flagged", "fields")
+    error = F.col("severity") == "error"
+    raised = flags.groupBy("document_id").agg(
+        F.count_if(error).alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(error, F.col("affected_fields"))))).alias("_named"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rule_order", "rule", "severity", "message"))),
+                    lambda f: F.struct(f["rule"].alias("rule"), f["severity"].alias("severity"), f["message"].alias("message"))).alias("flags"))
+    none = F.array().cast("array<string>")
+    out = po.join(raised, "document_id", "left").withColumns({
+        "fields_flagged": F.array_sort(F.array_union("_flagged", F.coalesce("_named", none))),
+        "errors": F.coalesce("errors", F.lit(0)), "warnings": F.coalesce("warnings", F.lit(0)),
+        "flags": F.coalesce("flags", F.array().cast("array<struct<rule:string,severity:string,message:string>>")),
+    }).drop("_flagged", "_named")
+    if items is not None:
+        texts = item_texts(items, F.to_json(F.struct(*item_columns(items))), separator=",").select("document_id", "items_text")
+        out = out.join(texts, "document_id", "left").withColumn(
+            "line_items", F.concat(F.lit("["), F.coalesce("items_text", F.lit("")), F.lit("]"))).drop("items_text")
     return out.join(routing, "document_id", "left") if routing is not None else out
 
 

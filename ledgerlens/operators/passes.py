@@ -106,16 +106,20 @@ def flag_unescalated(fields: DataFrame, failed: DataFrame, threshold: float = CO
 def pass_costs(calls: DataFrame) -> DataFrame:
     """Tokens and latency summed over the passes of a document.
 
-    Names and errors are counted per distinct text, so a document with very many
-    calls keeps a small state; sums and sets combine map-side.
+    Passes are named once each in the order they first ran, and every parse error is
+    kept, repeated ones too, in the order of the calls (``seq``). The lists are
+    as long as a document's calls, of which the pipeline makes two or a few.
     """
+    def in_order(name: str) -> Column:
+        called = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("seq", F.col(name).alias("x"))))
+        return F.transform(F.array_sort(called), lambda c: c["x"])
+
     return calls.groupBy("document_id").agg(
         F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tokens"),
         F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tokens"),
         F.sum("latency_ms").alias("latency_ms"),
-        # 'primary' before 'fallback', as the passes ran
-        F.array_join(F.reverse(F.array_sort(F.collect_set("pass"))), "+").alias("passes"),
-        F.array_join(F.array_sort(F.collect_set("parse_error")), "; ").alias("parse_errors"),
+        F.array_join(F.array_distinct(in_order("pass")), "+").alias("passes"),
+        F.array_join(in_order("parse_error"), "; ").alias("parse_errors"),
     )
 
 

@@ -92,19 +92,46 @@ def flagged_fields(spark, d):
     return out.withColumn("fields_flagged", F.array_join("fields_flagged", ","))
 
 
+def num(c: str) -> str:
+    """Shortest decimal text of a double (all amounts here are under 1e7)."""
+    return f"cast({c} as varchar)"
+
+
+def js(c: str) -> str:
+    return f"cast(to_json({c}) as varchar)"
+
+
+def _pairs(*pairs: tuple[str, str]) -> str:
+    inner = ", ".join(f"case when {c} is not null then '\"{k}\":' || {text} end" for k, c, text in pairs)
+    return f"'{{' || concat_ws(',', {inner}) || '}}'"
+
+
+_ITEM_JSON = _pairs(
+    ("description", "description", js("description")), ("part_number", "part_number", js("part_number")),
+    ("quantity", "quantity", "cast(quantity as varchar)"), ("unit_price", "unit_price", "cast(unit_price as varchar)"),
+    ("currency", "currency", js("currency")), ("line_total", "line_total", "cast(line_total as varchar)"),
+    ("tax_rate", "tax_rate", "cast(tax_rate as varchar)"))
+
+
 @query(f"""select document_id, po_number, vendor_name, coalesce(c.overall_confidence, 0) as overall_confidence,
-  coalesce(l.fields_flagged, '') as fields_flagged, coalesce(s.errors, 0) as errors, coalesce(s.warnings, 0) as warnings
-  from {WIDE} w
+  coalesce(l.fields_flagged, '') as fields_flagged, coalesce(s.errors, 0) as errors, coalesce(s.warnings, 0) as warnings,
+  n_fields, vendor_source, coalesce(rules, '') as rules, '[' || coalesce(items, '') || ']' as line_items
+  from {WIDE} w join (select document_id, count(*) n_fields, max(case when field_path = 'vendor.name' then source_model end) vendor_source
+    from {MERGED} m group by document_id) n using (document_id)
+  left join (select document_id, string_agg({_ITEM_JSON}, ',' order by pos) items from {ITEMS} i group by document_id) i using (document_id)
   left join (select document_id, round(min(case when value is not null then confidence end), 3) overall_confidence from {MERGED} m group by document_id) c using (document_id)
   left join (select document_id, array_to_string(list_sort(list(field_path)), ',') fields_flagged from {FLAGGED} f group by document_id) l using (document_id)
-  left join (select document_id, count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings
+  left join (select document_id, count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings,
+             string_agg("rule", ',' order by "rule") rules
              from ({ALL_FLAGS_SQL}) f group by document_id) s using (document_id)""")
 def results(spark, d):
     """The assembled result row per document."""
     fields = merged(spark, d)
-    out = A.assemble_results(A.build_po(fields), fields, flags(spark, d))
+    out = A.assemble_results(fields, flags(spark, d), po_items(spark, d))
     return out.select("document_id", "po_number", F.col("vendor.name").alias("vendor_name"), "overall_confidence",
-                      F.array_join("fields_flagged", ",").alias("fields_flagged"), "errors", "warnings")
+                      F.array_join("fields_flagged", ",").alias("fields_flagged"), "errors", "warnings",
+                      F.size("fields").alias("n_fields"), F.col("fields")["vendor.name"]["source"].alias("vendor_source"),
+                      F.array_join(F.array_sort(F.transform("flags", lambda f: f["rule"])), ",").alias("rules"), "line_items")
 
 
 # --- review -----------------------------------------------------------------------------------------
@@ -185,36 +212,15 @@ def po_items(spark, d):
 
 
 def records(spark, d):
-    """Orders as nested records with their items; vendor corrections applied before any sink."""
-    po = view(spark, d, "fx_po")
-    fix = view(spark, d, "fx_corrections").filter("field_path = 'vendor.name'").select("document_id", "corrected_value")
-    po = po.join(fix, "document_id", "left").withColumn("vendor_name", F.coalesce("corrected_value", "vendor_name"))
-    return A.nest_items(A.nest_header(po), po_items(spark, d))
+    """Orders as nested records with the reviewers' values."""
+    return E.apply_corrections(A.nest_header(view(spark, d, "fx_po")), view(spark, d, "fx_corrections"))
 
 
-RECORD = f"""(select po.* replace (coalesce(c.corrected_value, vendor_name) as vendor_name) from {PO} po
-  left join (select * from {CORR} c where field_path = 'vendor.name') c using (document_id))"""
+RECORD = f"""(select po.* replace (coalesce(c.corrected_value, vendor_name) as vendor_name), s.corrected_value as ship_to from {PO} po
+  left join (select * from {CORR} c where field_path = 'vendor.name') c using (document_id)
+  left join (select * from {CORR} c where field_path = 'ship_to') s using (document_id))"""
 
 
-def num(c: str) -> str:
-    """Shortest decimal text of a double (all amounts here are under 1e7)."""
-    return f"cast({c} as varchar)"
-
-
-def js(c: str) -> str:
-    return f"cast(to_json({c}) as varchar)"
-
-
-def _pairs(*pairs: tuple[str, str]) -> str:
-    inner = ", ".join(f"case when {c} is not null then '\"{k}\":' || {text} end" for k, c, text in pairs)
-    return f"'{{' || concat_ws(',', {inner}) || '}}'"
-
-
-_ITEM_JSON = _pairs(
-    ("description", "description", js("description")), ("part_number", "part_number", js("part_number")),
-    ("quantity", "quantity", "cast(quantity as varchar)"), ("unit_price", "unit_price", "cast(unit_price as varchar)"),
-    ("currency", "currency", js("currency")), ("line_total", "line_total", "cast(line_total as varchar)"),
-    ("tax_rate", "tax_rate", "cast(tax_rate as varchar)"))
 _VENDOR_JSON = _pairs(("name", "vendor_name", js("vendor_name")), ("country", "vendor_country", js("vendor_country")),
                       ("email", "vendor_email", js("vendor_email")))
 _TOTALS_JSON = _pairs(("subtotal", "subtotal", "cast(subtotal as varchar)"), ("shipping", "shipping", "cast(shipping as varchar)"),
@@ -224,15 +230,15 @@ _PO_JSON = _pairs(
     ("payment_terms", "payment_terms", js("payment_terms")), ("currency", "currency", js("currency")),
     ("vendor", "coalesce(vendor_name, vendor_country, vendor_email)", _VENDOR_JSON),
     ("buyer", "buyer_name", "'{\"name\":' || " + js("buyer_name") + " || '}'"),
-    ("line_items", "1", "'[' || coalesce(items, '') || ']'"),
+    ("ship_to", "ship_to", js("ship_to")), ("line_items", "1", "'[' || coalesce(items, '') || ']'"),
     ("totals", "coalesce(subtotal, shipping, grand_total)", _TOTALS_JSON))
-BODIES = f"""(select document_id, 0 as part, {_PO_JSON} as body from {RECORD} r left join (
+BODIES = f"""(select document_id, {_PO_JSON} as body from {RECORD} r left join (
   select document_id, string_agg({_ITEM_JSON}, ',' order by pos) items from {ITEMS} i group by document_id) i using (document_id))"""
 
 
 @query(f"select * from {BODIES} b")
 def export_json(spark, d):
-    return E.export_json(records(spark, d))
+    return E.export_json(records(spark, d), po_items(spark, d))
 
 
 def _txt(c: str) -> str:
@@ -249,14 +255,7 @@ def _txt(c: str) -> str:
   {_txt('i.currency')} line_currency, {_txt(num('tax_rate'))} tax_rate
   from {RECORD} r left join {ITEMS} i using (document_id)""")
 def export_csv(spark, d):
-    header = A.flat_header(records_header(spark, d))
-    return E.export_csv(header, po_items(spark, d))
-
-
-def records_header(spark, d):
-    po = view(spark, d, "fx_po")
-    fix = view(spark, d, "fx_corrections").filter("field_path = 'vendor.name'").select("document_id", "corrected_value")
-    return A.nest_header(po.join(fix, "document_id", "left").withColumn("vendor_name", F.coalesce("corrected_value", "vendor_name")))
+    return E.export_csv(A.flat_header(records(spark, d)), po_items(spark, d))
 
 
 @query(f"""select r.document_id, po_number, vendor_name, buyer_name, {num('grand_total')} as grand_total, n_items,
@@ -267,7 +266,7 @@ def export_xml(spark, d):
     """The XML text read back with ``from_xml``."""
     schema = ("Header struct<PONumber:string,Vendor:struct<Name:string>,Buyer:struct<Name:string>>, Totals struct<GrandTotal:string>, "
               "LineItems struct<_count:string,LineItem:array<struct<_index:string,Description:string,LineTotal:string>>>")
-    back = E.export_xml(records(spark, d)).withColumn("x", F.from_xml("body", schema))
+    back = E.export_xml(records(spark, d), po_items(spark, d)).withColumn("x", F.from_xml("body", schema))
     items = F.col("x.LineItems.LineItem")
     total = F.aggregate(F.transform(items, lambda i: F.coalesce(i["LineTotal"].cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))),
                         F.lit(0).cast("decimal(28,2)"), lambda a, v: (a + v).cast("decimal(28,2)"))
@@ -286,13 +285,13 @@ _PAYLOAD = (f"'{{\"event\":\"po.extracted\",\"timestamp\":\"{AS_OF}T00:00:00Z\",
             "|| document_id || '\",\"po_data\":' || body || ',\"ready_for_processing\":true}'").replace("{{", "{")
 
 
-@query(f"""select document_id, part, payload,
+@query(f"""select document_id, payload,
   'sha256=' || sha256('{_PAD(0x5C)}'::blob || unhex(sha256('{_PAD(0x36)}'::blob || encode(payload)))) as signature
-  from (select document_id, part, {_PAYLOAD} as payload from {BODIES} b where document_id in (
+  from (select document_id, {_PAYLOAD} as payload from {BODIES} b where document_id in (
     select document_id from {APPR} a where status = 'approved')) p""")
 def webhook_outbox(spark, d):
     decided = V.current_approval(view(spark, d, "fx_approvals"))
-    return E.webhook_outbox(records(spark, d), decided, SECRET, f"{AS_OF}T00:00:00Z")
+    return E.webhook_outbox(records(spark, d), po_items(spark, d), decided, SECRET, f"{AS_OF}T00:00:00Z")
 
 
 # --- jobs ------------------------------------------------------------------------------------------------

@@ -178,8 +178,8 @@ def flag_unescalated(spark, d):
 
 @query(f"""select document_id, cast(sum(coalesce(prompt_tokens, 0)) as bigint) prompt_tokens,
   cast(sum(coalesce(completion_tokens, 0)) as bigint) completion_tokens, cast(sum(latency_ms) as bigint) latency_ms,
-  array_to_string(list_reverse_sort(list(distinct pass)), '+') passes,
-  coalesce(array_to_string(list_sort(list(distinct parse_error) filter (parse_error is not null)), '; '), '') parse_errors
+  (select string_agg(pass, '+' order by first) from (select pass, min(seq) as first from {CALLS} o where o.document_id = c.document_id group by pass)) passes,
+  coalesce(string_agg(parse_error, '; ' order by seq), '') parse_errors
   from {CALLS} c group by document_id""")
 def pass_costs(spark, d):
     return P.pass_costs(view(spark, d, "fx_calls"))

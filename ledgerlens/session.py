@@ -1,8 +1,8 @@
-"""Session defaults and the few planning decisions operators share."""
+"""Session defaults and the shared work folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 #: Settings every job here relies on; a cluster profile may raise the sizes.
 DEFAULTS = {
@@ -15,10 +15,6 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-#: Spark's default target size of a coalesced partition
-ADVISORY_PARTITION_BYTES = 64 << 20
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable defaults to an existing session."""
     for key, value in DEFAULTS.items():
@@ -26,29 +22,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def too_few_tasks(df: DataFrame, per_task: int = ADVISORY_PARTITION_BYTES) -> bool:
-    """Whether ``df`` is under ``per_task`` bytes for each of the session's shuffle tasks."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return plan_bytes(df) < tasks * per_task
-
-
-def spread_small(df: DataFrame, at_least: int = 1 << 20) -> DataFrame:
-    """Spread a small stored table over the session's tasks.
-
-    A file with a single row group is read by one task, and everything up to the next
-    shuffle would run there. Pruning and filters still reach the scan. A table large
-    enough to fill the tasks, or too small to matter, is returned as it is.
-    """
-    if plan_bytes(df) < at_least or not too_few_tasks(df):
-        return df
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for stream checkpoints and written intermediates.
 

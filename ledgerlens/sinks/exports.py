@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.constants import BUYER, LINE_ITEM, VENDOR
+from ledgerlens.constants import BUYER, LINE_ITEM, TOP_LEVEL, TOTALS, VENDOR
+from ledgerlens.functions import numbers as N
 from ledgerlens.functions.signing import hmac_sha256
-from ledgerlens.operators.frames import col_or_null
+from ledgerlens.operators.assemble import PO_COLUMNS, item_columns, item_texts
+from ledgerlens.operators.frames import col_or_null, latest
 
-JSON_KEYS = (
-    "po_number", "po_date", "due_date", "required_by", "payment_terms", "payment_method", "delivery_terms",
-    "currency", "authorized_by", "special_instructions", "vendor", "buyer", "ship_to", "line_items", "totals",
-    "notes", "document_language", "additional_fields",
-)
+#: keys of the JSON record around its items
+BEFORE_ITEMS = PO_COLUMNS[:PO_COLUMNS.index("totals")]
+AFTER_ITEMS = PO_COLUMNS[PO_COLUMNS.index("totals"):]
 CSV_HEADER = {
     "po_number": "po_number", "po_date": "po_date", "due_date": "due_date", "payment_terms": "payment_terms",
     "delivery_terms": "delivery_terms", "currency": "currency", "vendor_name": "vendor_name",
@@ -38,10 +38,7 @@ XML_NAMES = {
 }
 
 
-def number_text(c: Column) -> Column:
-    """A double in plain notation with at least one decimal (never ``1.2E7``)."""
-    digits = F.regexp_replace(c.cast("decimal(28,10)").cast("string"), "0+$", "")
-    return F.regexp_replace(digits, r"\.$", ".0")
+number_text = N.plain_text
 
 
 def export_name(po_number: Column, result_id: Column, fmt: str) -> Column:
@@ -50,19 +47,61 @@ def export_name(po_number: Column, result_id: Column, fmt: str) -> Column:
     return F.concat(F.lit("po_"), key, F.lit(f".{fmt}"))
 
 
+# --- corrections ---------------------------------------------------------------------------
+
+def apply_corrections(po: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Records (``assemble.build_po``) with the reviewers' latest value of every header field.
+
+    ``corrections(document_id, field_path, corrected_value, seq)``: any top-level path or
+    ``section.key``; a section that is absent is made. Items (``line_items.*``) are left out, and so are
+    paths the record does not have. Corrections of documents without a record are dropped. Many
+    corrections of one field are folded before they meet the record, one map for each document.
+    """
+    sections = {"vendor": VENDOR, "buyer": BUYER, "totals": TOTALS}
+    paths = [*TOP_LEVEL, *[f"{s}.{k}" for s, keys in sections.items() for k in keys]]
+    last = latest(corrections.select("document_id", "field_path", "corrected_value", "seq"), ["document_id", "field_path"], ["seq"])
+    last = last.filter(F.col("field_path").isin(paths) & F.col("corrected_value").isNotNull())
+    per_document = last.groupBy("document_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("field_path", "corrected_value"))).alias("_fixed"))
+
+    def value(path: str, had: Column, numeric: bool = False) -> Column:
+        fixed = F.col("_fixed")[path]
+        return F.coalesce(N.to_number(fixed) if numeric else fixed, had)
+
+    made = {k: value(k, F.col(k)) for k in TOP_LEVEL}
+    for name, keys in sections.items():
+        fields = {k: value(f"{name}.{k}", F.col(name)[k], name == "totals" and k != "currency") for k in keys}
+        any_present = F.col(name).isNotNull() | F.coalesce(*[F.col("_fixed")[f"{name}.{k}"] for k in keys]).isNotNull()
+        made[name] = F.when(any_present, F.struct(*[c.alias(k) for k, c in fields.items()]))
+    return po.join(per_document, "document_id", "left").withColumns(made).select(*po.columns)
+
+
 # --- JSON ----------------------------------------------------------------------------------
 
-def export_json(records: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """One JSON text per record part; nulls are left out.
+def _members(keys: tuple[str, ...]) -> Column:
+    """The members of a JSON object without its braces; empty where all are null."""
+    text = F.to_json(F.struct(*keys))
+    return F.nullif(F.substring(text, 2, F.length(text) - 2), F.lit(""))
+
+
+def json_bodies(po: DataFrame, items: DataFrame) -> DataFrame:
+    """``po`` with ``body``: the whole record as one JSON text, nulls left out."""
+    texts = item_texts(items, F.to_json(F.struct(*item_columns(items))), separator=",").select("document_id", "items_text")
+    listed = F.concat(F.lit('"line_items":['), F.coalesce("items_text", F.lit("")), F.lit("]"))
+    body = F.concat(F.lit("{"), F.concat_ws(",", _members(BEFORE_ITEMS), listed, _members(AFTER_ITEMS)), F.lit("}"))
+    return po.join(texts, "document_id", "left").withColumn("body", body).drop("items_text")
+
+
+def export_json(po: DataFrame, items: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """One JSON text per record, however many items it has.
 
-    ``records`` comes from ``assemble.nest_items``. ``metadata`` (see
-    :func:`json_metadata`) adds a ``_metadata`` block.
+    ``metadata`` (see :func:`json_metadata`) adds a ``_metadata`` block.
     """
-    keys = list(JSON_KEYS)
+    out = json_bodies(po, items)
     if metadata is not None:
-        records = records.join(metadata, "document_id", "left")
-        keys.append("_metadata")
-    return records.select("document_id", "part", F.to_json(F.struct(*keys)).alias("body"))
+        block = F.concat(F.regexp_replace("body", r"\}$", ""), F.lit(',"_metadata":'), F.to_json("_metadata"), F.lit("}"))
+        out = out.join(metadata, "document_id", "left").withColumn("body", F.coalesce(block, F.col("body")))
+    return out.select("document_id", "body")
 
 
 def json_metadata(results: DataFrame, fields: DataFrame, exported_at) -> DataFrame:
@@ -107,9 +146,13 @@ def export_csv(header: DataFrame, items: DataFrame) -> DataFrame:
         "document_id", "pos", number.cast("string").alias("line_number"),
         *[text(items, src).alias(out) for out, src in CSV_ITEM.items() if src])
     head = header.select("document_id", *[text(header, src).alias(out) for out, src in CSV_HEADER.items()])
-    joined = head.join(rows, "document_id", "left")
-    return joined.select("document_id", F.coalesce("pos", F.lit(-1)).alias("pos"), *CSV_HEADER,
-                         *[F.coalesce(c, F.lit("")).alias(c) for c in CSV_ITEM])
+    # items stand on the left, where a hot order can be split; records without items follow
+    with_items = rows.join(head, "document_id")
+    without = head.join(items.select("document_id"), "document_id", "left_anti")
+    columns = ["document_id", "pos", *CSV_HEADER, *CSV_ITEM]
+    return with_items.select(
+        "document_id", "pos", *CSV_HEADER, *[F.coalesce(c, F.lit("")).alias(c) for c in CSV_ITEM],
+    ).unionByName(without.withColumns({"pos": F.lit(-1), **{c: F.lit("") for c in CSV_ITEM}}).select(*columns))
 
 
 def write_csv(rows: DataFrame, path: str, byte_order_mark: bool = False) -> None:
@@ -132,43 +175,52 @@ def _camel(name: str) -> str:
     return XML_NAMES.get(name) or "".join(p.capitalize() for p in name.split("_"))
 
 
-def export_xml(records: DataFrame, result_id: Column | None = None, generated_at: str | None = None) -> DataFrame:
-    """One ``PurchaseOrder`` text per record part (S9); null gives no element."""
+def export_xml(po: DataFrame, items: DataFrame, result_id: Column | None = None, generated_at: str | None = None) -> DataFrame:
+    """One ``PurchaseOrder`` text per record, however many items it has (S9); null gives no element."""
     rid = result_id if result_id is not None else F.col("document_id")
     text = lambda c, n: number_text(c) if n in _NUMBERS else c.cast("string")
+    # fragments are one line each: what stands between the tags of an element is its text
+    xml = lambda body, tag: F.regexp_replace(F.to_xml(body, {"rowTag": tag}), r">\s*\n\s*<", "><")
 
     def section(name: str, keys) -> Column:
         body = F.struct(*[text(F.col(f"{name}.{k}"), k).alias(_camel(k)) for k in keys])
         return F.when(F.col(name).isNotNull(), body).alias(_camel(name))
 
-    item_keys = [k for k in LINE_ITEM]
-    indexed = F.transform("line_items", lambda x, i: F.struct(
-        (i + 1).cast("string").alias("_index"), *[text(x[k], k).alias(_camel(k)) for k in item_keys]))
-    items = F.when(F.size("line_items") > 0, F.struct(
-        F.size("line_items").cast("string").alias("_count"), indexed.alias("LineItem"))).alias("LineItems")
+    columns = items.select("document_id", "pos", *item_columns(items))
+    item = xml(F.struct(*[text(F.col(k), k).alias(_camel(k)) for k in LINE_ITEM]), "LineItem")
+    # the item's own start tag takes its number
+    numbered = lambda n, x: F.concat(F.lit('<LineItem index="'), n.cast("string"), F.lit('"'), F.substring(x, 10, F.length(x)))
+    texts = item_texts(columns, item, numbered)
+    listed = F.when(F.col("items_count") > 0, F.concat(
+        F.lit('<LineItems count="'), F.col("items_count").cast("string"), F.lit('">'), F.col("items_text"), F.lit("</LineItems>")))
     top = ("po_number", "po_date", "due_date", "payment_terms", "delivery_terms", "currency")
     header = F.struct(*[F.col(k).alias(_camel(k)) for k in top], section("vendor", VENDOR), section("buyer", BUYER)).alias("Header")
     totals = section("totals", ("subtotal", "tax_amount", "shipping", "discount", "grand_total", "currency"))
     stamp = [F.lit(generated_at).alias("_generated_at")] if generated_at else []
-    body = F.struct(*stamp, rid.cast("string").alias("_result_id"), header, items, totals)
-    return records.select("document_id", "part", F.to_xml(body, {"rowTag": "PurchaseOrder"}).alias("body"))
+    before = xml(F.struct(*stamp, rid.cast("string").alias("_result_id"), header), "PurchaseOrder")
+    after = F.regexp_extract(xml(F.struct(totals), "PurchaseOrder"), "(?s)<Totals>.*</Totals>", 0)
+    # the start with the header, then items and totals, then the end tag
+    open_ = F.regexp_replace(F.regexp_replace(before, "</PurchaseOrder>$", ""), r"/>$", ">")
+    body = F.concat(open_, F.coalesce(listed, F.lit("")), after, F.lit("</PurchaseOrder>"))
+    return po.join(texts, "document_id", "left").select("document_id", body.alias("body"))
 
 
 # --- outbox -------------------------------------------------------------------------------------
 
-def webhook_outbox(records: DataFrame, approvals: DataFrame, secret: str | None, at, event: str = "po.extracted") -> DataFrame:
-    """Payload and signature per approved record.
+def webhook_outbox(po: DataFrame, items: DataFrame, approvals: DataFrame, secret: str | None, at, event: str = "po.extracted") -> DataFrame:
+    """One payload and signature per approved record.
 
     ``approvals`` holds the current decision per document; only approved ones pass.
     Delivery belongs to the caller's sink, e.g. a ``foreachBatch`` over this table.
     """
-    ready = records.join(approvals.filter(F.col("status") == "approved").select("document_id"), "document_id", "left_semi")
-    rid = col_or_null(records, "result_id") if "result_id" in records.columns else F.col("document_id").cast("string")
-    payload = F.to_json(F.struct(
+    approved = approvals.filter(F.col("status") == "approved").select("document_id")
+    ready = json_bodies(po.join(approved, "document_id", "left_semi"), items.join(approved, "document_id", "left_semi"))
+    rid = col_or_null(po, "result_id") if "result_id" in po.columns else F.col("document_id").cast("string")
+    envelope = F.to_json(F.struct(
         F.lit(event).alias("event"), F.lit(at).cast("string").alias("timestamp"), rid.alias("result_id"),
-        F.col("document_id").cast("string").alias("document_id"), F.struct(*JSON_KEYS).alias("po_data"),
-        F.lit(True).alias("ready_for_processing")))
-    out = ready.select("document_id", "part", payload.alias("payload"))
+        F.col("document_id").cast("string").alias("document_id")))
+    payload = F.concat(F.regexp_replace(envelope, r"\}$", ""), F.lit(',"po_data":'), F.col("body"), F.lit(',"ready_for_processing":true}'))
+    out = ready.select("document_id", payload.alias("payload"))
     signature = F.concat(F.lit("sha256="), hmac_sha256(F.col("payload"), secret)) if secret else F.lit(None).cast("string")
     return out.withColumn("signature", signature)
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import spread_small
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "labels", "conversations",
@@ -170,13 +168,13 @@ from (select l.*, p_name,
 
 # run cost of each pass
 VIEWS["fx_calls"] = """
-select event_id % 15000 as document_id,
+select cast(floor(event_id / 4) as bigint) as document_id,
        case when event_type in ('view', 'click') then 'fallback' else 'primary' end as pass,
        event_id as seq,
        cast(floor(value * 100) as int) as latency_ms,
        case when event_type = 'signup' then null else cast(floor(value * 7) as int) end as prompt_tokens,
        case when event_type = 'error' then null else cast(floor(value) as int) end as completion_tokens,
-       case when event_type = 'error' then 'bad reply' end as parse_error
+       case when event_type in ('error', 'view') then 'bad reply ' || cast(event_id % 3 as string) end as parse_error
 from {events}
 """
 
@@ -282,7 +280,7 @@ def duck(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

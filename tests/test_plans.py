@@ -4,7 +4,6 @@ import pytest
 
 from ledgerlens.operators import locate as X
 from ledgerlens.plans import QUERIES
-from ledgerlens.session import spread_small, too_few_tasks
 
 BATCH = [n for n in QUERIES if not n.startswith("stream_")]
 
@@ -46,12 +45,3 @@ def test_first_lines_limit_before_the_shuffle(spark, sf_dir):
 
     text = plan(X.first_lines(fx_lines(spark, sf_dir)))
     assert "WindowGroupLimit" in text and "Partial" in text
-
-
-def test_large_tables_are_not_respread(spark, monkeypatch):
-    import ledgerlens.session as s
-
-    df = spark.range(10)
-    assert too_few_tasks(df)
-    monkeypatch.setattr(s, "plan_bytes", lambda d: 100 << 40)
-    assert not s.too_few_tasks(df) and spread_small(df) is df

@@ -5,9 +5,11 @@ import io
 import json
 import xml.etree.ElementTree as ET
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import assemble as A, jobs as J, lines as L, review as V
+from ledgerlens.functions import numbers as N
+from ledgerlens.operators import assemble as A, jobs as J, lines as L, passes as P, review as V, rules as R
 from ledgerlens.sinks import exports as E
 
 FIELD = "document_id int, field_path string, value string, confidence double, source_model string, flagged boolean, review_reason string"
@@ -56,14 +58,60 @@ def test_flat_and_nested_agree(spark):
     assert [r.asDict(True) for r in again.collect()] == [r.asDict(True) for r in po.drop("additional_fields").collect()]
 
 
-def test_long_orders_are_cut_into_parts(spark):
+def test_long_orders_are_one_record(spark):
     po = A.build_po(fields(spark))
-    items = spark.range(25).select(F.lit(1).alias("document_id"), F.col("id").cast("int").alias("pos"), F.format_string("item %d", "id").alias("description"))
-    parts = sorted(A.nest_items(po, items, per_part=10).collect(), key=lambda r: r["part"])
-    assert [len(p["line_items"]) for p in parts] == [10, 10, 5]
-    assert [i["description"] for p in parts for i in p["line_items"]] == [f"item {i}" for i in range(25)]
-    one = A.nest_items(po, items).collect()
-    assert len(one) == 1 and len(one[0]["line_items"]) == 25
+    items = spark.range(1500).repartition(7).select(F.lit(1).alias("document_id"), F.col("id").cast("int").alias("pos"), F.format_string("item %d", "id").alias("description"))
+    for parts in (1, 5):
+        some = items.repartition(parts)
+        listed = json.loads(E.export_json(po, some).first()["body"])["line_items"]
+        assert [i["description"] for i in listed] == [f"item {i}" for i in range(1500)]
+        found = ET.fromstring(E.export_xml(po, some).first()["body"]).find("LineItems")
+        assert found.get("count") == "1500" and [i.get("index") for i in found] == [str(i + 1) for i in range(1500)]
+        decided = spark.createDataFrame([(1, "approved")], "document_id int, status string")
+        payload = E.webhook_outbox(po, some, decided, "s", "t").collect()
+        assert len(payload) == 1 and len(json.loads(payload[0]["payload"])["po_data"]["line_items"]) == 1500
+        blocks = A.item_texts(some, F.col("description"), lambda n, x: F.concat(n.cast("string"), F.lit("="), x), ",", per_block=10).first()
+        assert blocks["items_count"] == 1500 and blocks["items_text"].split(",")[999] == "1000=item 999"
+
+
+def test_amounts_that_no_decimal_holds(spark):
+    raw = [(i, json.dumps([{"description": "x", "line_total": v}])) for i, v in enumerate(["1e19", "1e23", "1e400", "1e-11", "-2.5E8", "0"])]
+    items = A.parse_line_items(spark.createDataFrame(raw, "document_id int, raw string"))
+    got = {r["document_id"]: (r["line_total"], r["unread_numbers"]) for r in items.collect()}
+    assert got[0] == (1e19, None) and got[1][0] == pytest.approx(1e23) and got[2] == (None, "line_total") and got[3] == (1e-11, None) and got[5] == (0.0, None)
+    assert items.filter("document_id = 4").first()["reject_reason"] == "line_total is negative"
+    po = A.build_po(spark.createDataFrame([(i, "totals.subtotal", v) for i, v in enumerate(["1e19", "1e23", "1e400", "1e-11"])], "document_id int, field_path string, value string"))
+    assert R.validate(A.flat_header(po), items, "2024-01-01").count() > 0
+    csv_rows = {r["document_id"]: r["total_subtotal"] for r in E.export_csv(A.flat_header(po), items).collect()}
+    assert csv_rows[0] == "10000000000000000000.0" and csv_rows[2] == "" and csv_rows[3] == "0.00000000001"
+    assert "E" not in csv_rows[1] and float(csv_rows[1]) == pytest.approx(1e23)
+    assert E.export_json(po, items).count() == E.export_xml(po, items).count() == po.count()
+    shown = spark.sql("select explode(array(1.2345e7, -1.5e-4, 123.25, 1e7, cast('NaN' as double), 0.1, 9.87654321e12)) x").select(N.plain_text(F.col("x").cast("double")).alias("t"))
+    assert [r["t"] for r in shown.collect()] == ["12345000.0", "-0.00015", "123.25", "10000000.0", None, "0.1", "9876543210000.0"]
+    total = spark.sql("select explode(array(1e23d, 0.1d, 0.2d, cast(null as double))) x").agg(N.exact_sum(F.col("x")).alias("s")).first()["s"]
+    assert total == 1e23 + 0.3
+
+
+def test_corrections_reach_every_section(spark):
+    po = A.build_po(fields(spark))
+    fixes = spark.createDataFrame(
+        [(1, "vendor.name", "Old", 1), (1, "vendor.name", "New Ltd", 2), (1, "ship_to", "Dock 4", 3), (1, "buyer.name", "Beth", 4), (1, "totals.tax_amount", "$1,200.50", 5),
+         (1, "line_items.0.quantity", "7", 6), (1, "nothing.here", "x", 7), (9, "ship_to", "y", 8), (1, "currency", "EUR", 9)],
+        "document_id int, field_path string, corrected_value string, seq long")
+    out = E.apply_corrections(po, fixes)
+    assert out.columns == po.columns and out.count() == po.count()
+    row = out.filter("document_id = 1").first()
+    assert (row["vendor"]["name"], row["ship_to"], row["buyer"]["name"], row["totals"]["tax_amount"], row["currency"]) == ("New Ltd", "Dock 4", "Beth", 1200.5, "EUR")
+    assert row["totals"]["subtotal"] == 1234.5
+    body = json.loads(E.export_json(out.filter("document_id = 1"), spark.createDataFrame([], "document_id int, pos int")).first()["body"])
+    assert body["ship_to"] == "Dock 4" and body["vendor"]["name"] == "New Ltd" and body["line_items"] == []
+
+
+def test_costs_keep_every_error_in_order(spark):
+    calls = spark.createDataFrame([(1, 3, "fallback", 5, None, 1, "b"), (1, 1, "primary", 1, 2, None, "b"), (1, 2, "primary", 1, 2, 3, "a"), (2, 1, "primary", 1, 1, 1, None)],
+                                  "document_id int, seq int, pass string, latency_ms int, prompt_tokens int, completion_tokens int, parse_error string")
+    got = {r["document_id"]: (r["passes"], r["parse_errors"], r["latency_ms"]) for r in P.pass_costs(calls).collect()}
+    assert got == {1: ("primary+fallback", "b; a; b", 7), 2: ("primary", "", 1)}
 
 
 def test_scores(spark):
@@ -116,17 +164,17 @@ def record(spark):
     po = A.build_po(fields(spark))
     items = spark.createDataFrame([(1, 0, 'Say "hi", ok', 2.0, 12345678.5, None), (1, 1, "plain <b>", 1.0, 0.5, 9)],
                                   "document_id int, pos int, description string, quantity double, unit_price double, line_number int")
-    return po, items, A.nest_items(po, items)
+    return po, items
 
 
 def test_json(spark):
-    po, items, nested = record(spark)
-    body = json.loads(E.export_json(nested).first()["body"])
+    po, items = record(spark)
+    body = json.loads(E.export_json(po, items).first()["body"])
     assert body["line_items"][0] == {"description": 'Say "hi", ok', "quantity": 2.0, "unit_price": 12345678.5}
     assert "buyer" not in body and "currency" not in body and body["totals"] == {"subtotal": 1234.5}
     results = spark.createDataFrame([(1, "r-1", 0.12345, True)], "document_id int, result_id string, overall_confidence double, approved boolean")
     pseudo = fields(spark).union(spark.createDataFrame([(1, "line_items.0", "x", 0.92, "local", False, None)], FIELD))
-    with_meta = json.loads(E.export_json(nested, E.json_metadata(results, pseudo, "2024-01-01T00:00:00Z")).first()["body"])
+    with_meta = json.loads(E.export_json(po, items, E.json_metadata(results, pseudo, "2024-01-01T00:00:00Z")).first()["body"])
     meta = with_meta["_metadata"]
     assert meta["overall_confidence"] == 0.123 and meta["result_id"] == "r-1" and meta["approved"] is True
     assert meta["field_confidence"]["vendor.name"] == {"value": "Acme", "confidence": 0.6, "source": "groq"}
@@ -134,7 +182,7 @@ def test_json(spark):
 
 
 def test_csv(spark, tmp_path):
-    po, items, _ = record(spark)
+    po, items = record(spark)
     rows = E.export_csv(A.flat_header(po), items)
     E.write_csv(rows, str(tmp_path / "out"), byte_order_mark=True)
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*.csv")))
@@ -148,8 +196,8 @@ def test_csv(spark, tmp_path):
 
 
 def test_xml(spark):
-    _, _, nested = record(spark)
-    root = ET.fromstring(E.export_xml(nested, generated_at="2024-01-01").first()["body"])
+    po, items = record(spark)
+    root = ET.fromstring(E.export_xml(po, items, generated_at="2024-01-01").first()["body"])
     assert root.tag == "PurchaseOrder" and root.get("result_id") == "1" and root.get("generated_at") == "2024-01-01"
     assert root.find("Header/PONumber").text == "PO-1" and root.find("Header/Currency") is None and root.find("Header/Buyer") is None
     found = root.find("LineItems")
@@ -159,12 +207,12 @@ def test_xml(spark):
 
 
 def test_outbox_takes_approved_only(spark):
-    _, _, nested = record(spark)
+    po, items = record(spark)
     decided = spark.createDataFrame([(1, "approved"), (2, "rejected")], "document_id int, status string")
-    row = E.webhook_outbox(nested, decided, "s", "2024-01-01T00:00:00Z").first()
+    row = E.webhook_outbox(po, items, decided, "s", "2024-01-01T00:00:00Z").first()
     assert json.loads(row["payload"])["po_data"]["po_number"] == "PO-1" and row["signature"].startswith("sha256=")
-    assert E.webhook_outbox(nested, decided.filter("status = 'rejected'"), "s", "x").count() == 0
-    assert E.webhook_outbox(nested, decided, None, "x").first()["signature"] is None
+    assert E.webhook_outbox(po, items, decided.filter("status = 'rejected'"), "s", "x").count() == 0
+    assert E.webhook_outbox(po, items, decided, None, "x").first()["signature"] is None
 
 
 def test_transitions_across_buckets(spark):
