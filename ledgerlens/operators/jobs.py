@@ -24,6 +24,22 @@ def current_jobs(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"))
 
 
+def partial_jobs(events: DataFrame) -> DataFrame:
+    """One row per job of a part of the events, to be merged with other parts."""
+    last = F.max(F.struct("ts", "seq", "status")).alias("last")
+    return events.groupBy("job_id").agg(
+        last, F.min("ts").alias("created_at"), F.max(F.when(F.col("status") == "complete", F.col("ts"))).alias("completed_at"),
+        F.count(F.lit(1)).alias("n_events"))
+
+
+def merge_jobs(parts: DataFrame) -> DataFrame:
+    """State of each job from parts in any order; equals :func:`current_jobs` over all events."""
+    return parts.groupBy("job_id").agg(
+        F.max("last").alias("last"), F.min("created_at").alias("created_at"), F.max("completed_at").alias("completed_at"),
+        F.sum("n_events").alias("n_events"),
+    ).select("job_id", F.col("last.status").alias("status"), "created_at", F.col("last.ts").alias("updated_at"), "completed_at", "n_events")
+
+
 def jobs_dashboard(jobs: DataFrame, results: DataFrame, n: int = DASHBOARD_JOBS) -> DataFrame:
     """The newest ``n`` jobs with their current results.
 

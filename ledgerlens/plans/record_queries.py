@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlens.constants import ALLOWED_MIME_TYPES
@@ -9,6 +11,7 @@ from ledgerlens.operators import assemble as A, jobs as J, review as V, rules as
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.reply_queries import MERGED, merged
 from ledgerlens.plans.rule_queries import ALL_FLAGS_SQL, ITEMS, PO
+from ledgerlens.session import work_dir
 from ledgerlens.sinks import exports as E
 from ledgerlens.sources import files as S
 from ledgerlens.sources.views import AS_OF, duck, sql_text, table, view
@@ -376,8 +379,20 @@ def stream_ingest(spark, d):
 
 @query(f"select * from {STATE} s")
 def stream_jobs(spark, d):
-    folder, _ = ST.run_available(ST.job_state(_stream_view(spark, d, "fx_jobs", "events")), "jobs", mode="update")
-    return ST.read_back(spark, folder, keys=["job_id"])
+    folder, _ = ST.fold_jobs(_stream_view(spark, d, "fx_jobs", "events"))
+    return J.merge_jobs(ST.read_back(spark, folder))
+
+
+@query(f"select * from {STATE} s")
+def stream_jobs_out_of_order(spark, d):
+    """Events delivered in two runs of one checkpoint, odd ones first."""
+    base = f"{work_dir(spark)}/disorder-{uuid.uuid4().hex}"
+    events = view(spark, d, "fx_jobs")
+    for part in (1, 0):
+        events.filter(F.col("seq") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        folder, _ = ST.fold_jobs(stream, folder=f"{base}/out")
+    return J.merge_jobs(ST.read_back(spark, folder))
 
 
 @query(f"select seq, count(*) as n from {JOBS} j group by seq")
@@ -393,7 +408,7 @@ def stream_dedupe(spark, d):
 def stream_corrections(spark, d):
     stream = _stream_view(spark, d, "fx_corrections", "labels")
     folder, _ = ST.upsert_corrections(stream)
-    return ST.read_back(spark, folder, keys=["document_id", "field_path"])
+    return ST.read_back(spark, folder, keys=["document_id", "field_path"], order=("seq",))
 
 
 @query(f"""select job_id, seq, status, null as error_message from {JOBS} j

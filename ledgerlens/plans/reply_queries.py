@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog import REQUESTED
@@ -102,6 +104,25 @@ def evidence_boost(spark, d):
     return boosted_fields.select("document_id", "field_path", "confidence")
 
 
+def pattern_provider() -> Callable[[str], tuple[str, int | None, int | None]]:
+    """A deterministic provider for tests: ``Label value`` lines of the text become fields."""
+    import json
+    import re
+
+    labels = {"order": "po_number", "date": "po_date", "due": "due_date", "terms": "payment_terms",
+              "from": "vendor.name", "buyer": "buyer.name"}
+    line = re.compile(r"^(\w+) (.+)$", re.MULTILINE)
+
+    def call(prompt: str):
+        body = prompt.split("\n---\n", 1)[1]
+        found = {labels[k.lower()]: {"value": v.strip(), "confidence": 0.9}
+                 for k, v in line.findall(body) if k.lower() in labels}
+        reply = json.dumps(found)
+        return reply, len(prompt.split()), len(reply.split())
+
+    return call
+
+
 @query(f"""select document_id,
   nullif(regexp_extract(ocr_text, 'Order (.+)', 1), '') as po_number, nullif(regexp_extract(ocr_text, 'Date (.+)', 1), '') as po_date,
   nullif(regexp_extract(ocr_text, 'From (.+)', 1), '') as vendor_name, nullif(regexp_extract(ocr_text, 'Buyer (.+)', 1), '') as buyer_name
@@ -109,7 +130,7 @@ def evidence_boost(spark, d):
 def provider_pass(spark, d):
     """Prompt, call the deterministic test provider, read its reply back."""
     prompts = R.prompt_table(view(spark, d, "fx_po_text"))
-    replies = R.clean_replies(R.apply_provider(prompts, R.pattern_provider, "local"))
+    replies = R.clean_replies(R.apply_provider(prompts, pattern_provider, "local"))
     value = lambda p: F.try_variant_get(F.try_element_at("m", F.lit(p)), "$.value", "string")
     return replies.withColumn("m", F.from_json("reply_json", R.MAP)).select(
         "document_id", value("po_number").alias("po_number"), value("po_date").alias("po_date"),

@@ -7,7 +7,7 @@ Order is ``(ts, seq)`` everywhere, so a late event never overwrites a newer stat
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,21 +15,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlens.constants import STATE_TTL_SECONDS, TASK_TIMEOUT_SECONDS
 from ledgerlens.operators.frames import latest
-from ledgerlens.operators.jobs import current_jobs
+from ledgerlens.operators.jobs import current_jobs, partial_jobs
 from ledgerlens.session import work_dir
 from ledgerlens.sources.files import admit_files, named_files
 
 #: the columns of Spark's ``binaryFile`` source, which a stream has to be told
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # --- sources ---------------------------------------------------------------------------
 
-def read_table(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Parquet files of a folder as a stream; each file is read once."""
+def read_table(spark: SparkSession, folder: str, pattern: str, files_per_batch: int = 100) -> DataFrame:
+    """Parquet files of a folder as a stream; each file is read once (T1), so many at a time."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option(
+        "maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def read_landing(spark: SparkSession, path: str, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:
@@ -54,10 +54,22 @@ def ingest(files: DataFrame) -> DataFrame:
 
 def job_state(events: DataFrame) -> DataFrame:
     """Current state per job (T2, T8), for update mode. Combines map-side, so a job
-    that sends most of the events is still one row per task."""
+    that sends most of the events is still one row per task.
+
+    Spark keeps a row of state for every job there ever was. ``fold_jobs`` keeps none.
+    """
     return current_jobs(events)
 
 
+def fold_jobs(events: DataFrame, name: str = "jobs", folder: str | None = None) -> tuple[str, str]:
+    """Reduce every micro-batch to one row per job; ``jobs.merge_jobs`` joins them.
+
+    Nothing is held between batches: events may come late, in any order and over any
+    number of batches, and old jobs cost no memory.
+    """
+    return run_available(events, name, folder=folder, fold=partial_jobs)
+
+
 def dedupe_jobs(events: DataFrame, keys: list[str], late: str = "24 hours") -> DataFrame:
     """One row per key among rows at most ``late`` apart (T5); state expires with the watermark."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -124,24 +136,25 @@ def track_jobs(events: DataFrame, timeout_seconds: int = TASK_TIMEOUT_SECONDS,
 
     Both run on the wall clock: a state expires ``ttl_seconds`` after it was last
     written, a timer fires ``timeout_seconds`` after processing began. Needs the
-    RocksDB state store, which is set on the session here.
+    RocksDB state store, which ``session.configure`` sets. Ids keep the type they have.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kind = events.schema["job_id"].dataType.simpleString()
     stamped = events.select("job_id", "seq", "status", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     return stamped.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=JobTracker(timeout_seconds, ttl_seconds),
-        outputStructType="job_id long, seq long, status string, error_message string",
+        outputStructType=f"job_id {kind}, seq long, status string, error_message string",
         outputMode="Append", timeMode="ProcessingTime")
 
 
 # --- sinks -----------------------------------------------------------------------------------
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None,
-                  one_batch: bool = False) -> tuple[str, str]:
+                  one_batch: bool = False, fold: Callable[[DataFrame], DataFrame] | None = None) -> tuple[str, str]:
     """Process what is there and stop. Returns (table path, checkpoint path).
 
     ``one_batch`` is for operators with wall-clock timers: those always ask for a
     further batch, so "until nothing is left" would never end.
+    ``fold`` is applied to each micro-batch as a plain table.
     Each micro-batch overwrites its own ``batch`` folder, so a batch that is run again
     after a failure leaves the same rows. Both paths are under the shared work folder.
     """
@@ -149,7 +162,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", folder: st
     table, checkpoint = f"{base}/table", f"{base}/checkpoint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        (fold(batch) if fold else batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     trigger = {"once": True} if one_batch else {"availableNow": True}
     (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -157,10 +170,14 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", folder: st
     return table, checkpoint
 
 
-def read_back(spark: SparkSession, table: str, keys: list[str] | None = None) -> DataFrame:
-    """Rows of a streamed table; with ``keys`` the newest batch's row per key."""
+def read_back(spark: SparkSession, table: str, keys: list[str] | None = None, order: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """Rows of a streamed table; with ``keys`` the last row per key by ``order`` (the newest batch's).
+
+    Rows that carry their own order, such as corrections, are taken by that: an older
+    one can come in a later batch.
+    """
     rows = spark.read.parquet(table)
-    return (latest(rows, keys, ["batch"]) if keys else rows).drop("batch")
+    return (latest(rows, keys, list(order)) if keys else rows).drop("batch")
 
 
 def upsert_corrections(corrections: DataFrame, folder: str | None = None) -> tuple[str, str]:

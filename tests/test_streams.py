@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import jobs as J, review as V
 from ledgerlens.sources import files as S
-from ledgerlens.sources.stores import Store, document_index, result_store
 from ledgerlens.streaming import streams as ST
 
 ROWS = [(1, 1, 0, "pending"), (1, 2, 10, "processing"), (2, 3, 5, "pending"), (1, 5, 30, "complete"), (1, 4, 20, "processing"),
@@ -35,6 +34,13 @@ def test_job_state_any_order(spark, tmp_path):
     assert rows(ST.read_back(spark, table, ["job_id"]).select(want.columns)) == rows(want)
 
 
+def test_folded_jobs_any_order(spark, tmp_path):
+    stream = in_files(spark, tmp_path, events(spark).repartition(3))
+    table, _ = ST.fold_jobs(stream, folder=str(tmp_path / "out"))
+    want = J.current_jobs(events(spark))
+    assert rows(J.merge_jobs(ST.read_back(spark, table)).select(want.columns)) == rows(want)
+
+
 def test_restart_processes_new_files_only(spark, tmp_path):
     frame = events(spark)
     stream = in_files(spark, tmp_path, frame)
@@ -56,6 +62,17 @@ def test_tracker(spark, tmp_path):
     assert late == [(2, 6)] and got.filter("error_message is null").count() == len(ROWS)
 
 
+def test_tracker_takes_text_ids(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    named = events(spark).withColumn("job_id", F.concat(F.lit("3f2b-"), F.col("job_id").cast("string")))
+    named.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(named.schema).parquet(str(tmp_path / "in"))
+    table, _ = ST.run_available(ST.track_jobs(stream), "t", folder=str(tmp_path / "out"), one_batch=True)
+    got = ST.read_back(spark, table)
+    assert {r["job_id"] for r in got.collect()} == {"3f2b-1", "3f2b-2", "3f2b-3"}
+    assert got.filter("error_message is not null").count() == 1
+
+
 def test_corrections(spark, tmp_path):
     fixes = spark.createDataFrame([(1, "a", f"v{i}", "r", i) for i in range(6)] + [(2, "b", "w", "r", 7)],
                                   "document_id long, field_path string, corrected_value string, reviewer_id string, seq long")
@@ -65,6 +82,9 @@ def test_corrections(spark, tmp_path):
     stored = spark.read.parquet(table).drop("batch")
     assert rows(V.apply_corrections(fields, stored)) == rows(V.apply_corrections(fields, fixes))
     assert V.apply_corrections(fields, stored).filter("document_id = 1").first()["value"] == "v5"
+    # seq decides, not the batch in which a correction came
+    newest = ST.read_back(spark, table, keys=["document_id", "field_path"], order=("seq",))
+    assert {r["field_path"]: r["corrected_value"] for r in newest.collect()} == {"a": "v5", "b": "w"}
 
 
 def test_landing_folder(spark, tmp_path):
@@ -98,16 +118,3 @@ def test_mail(spark):
     assert got == {1: None, 2: "subject does not match", 3: "not an attachment", 4: "no file name", 5: "type not allowed", 6: "empty", 7: "too large", 8: "container"}
     assert S.admit_attachments(parts).filter("message_id = 2").first()["reject_reason"] is None
     assert S.admit_attachments(parts).first()["sender"] == "unknown"
-
-
-def test_stores(spark, tmp_path):
-    store = result_store(str(tmp_path / "results"))
-    schema = "result_id string, document_id int, updated_at int, seq int, state string"
-    store.save(spark.createDataFrame([("r1", 1, 1, 1, "new"), ("r2", 2, 1, 2, "new")], schema))
-    store.save(spark.createDataFrame([("r1", 1, 2, 3, "fixed"), ("r3", 2, 5, 4, "again")], schema))
-    assert {r["result_id"]: r["state"] for r in store.current(spark).collect()} == {"r1": "fixed", "r2": "new", "r3": "again"}
-    found = store.get(spark, "r1")
-    assert [r["state"] for r in found.collect()] == ["fixed", "new"]
-    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString()
-    assert {r["document_id"]: r["result_id"] for r in document_index(spark, store).collect()} == {1: "r1", 2: "r3"}
-    assert isinstance(store, Store)
