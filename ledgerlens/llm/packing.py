@@ -17,6 +17,8 @@ an empty table gives an empty result. Only the id and the text are read.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +33,9 @@ CAPACITY, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts of a pattern, and steps of the fit.
 PARTS, STEPS = 3, 400
-#: Known chunks a task keeps; beyond it the memory is emptied.
-KNOWN = 600_000
+#: Chunks whose ids a Python worker keeps, about 200 bytes each. The first ones met are the frequent ones; others are
+#: encoded each time they come.
+KNOWN = 800_000
 RANK_BUCKETS = 64
 
 # Chunks of text that the tokenizer's own first cut never crosses: anything up to and with a run of
@@ -62,14 +65,22 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._ids([text])[0]
         chunks = _CHUNK.findall(text)
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            known.update(zip(new, self._ids(new), strict=True))
-        return b"".join([known[c] for c in chunks])
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            new = list({c: None for c, i in zip(chunks, ids, strict=True) if i is None})
+            made = dict(zip(new, self._ids(new), strict=True))
+            ids = [made[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+            if len(self.known) < KNOWN:
+                self.known.update(made)
+        return b"".join(ids)
+
+
+def encoder(file: str) -> Encoder:
+    """The worker's encoder; it outlives a task, and so does what it knows."""
+    kept = sys.modules.setdefault("_ledgerlens_worker", types.ModuleType("_ledgerlens_worker")).__dict__
+    if file not in kept:
+        kept[file] = Encoder(file)
+    return kept[file]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -84,7 +95,7 @@ def _pieces(file: str, capacity: int, end: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(file)
+        encode = encoder(file)
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
