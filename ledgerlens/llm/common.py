@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerlens.session import work_dir
@@ -51,29 +54,56 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], bucket: Colum
     )
 
 
+def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) of a graph given by index pairs."""
+    nodes, flat = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = flat[:len(left)], flat[len(left):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    out = label != np.arange(len(nodes))
+    return nodes[out], nodes[label[out]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace a partition's edges by stars, batch by batch: never more edges than nodes."""
+    a = b = np.empty(0, np.int64)
+    for batch in batches:
+        a, b = forest(np.concatenate([a, batch.column("u").to_numpy()]), np.concatenate([b, batch.column("v").to_numpy()]))
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component) of every node of ``edges`` (a, b): the smallest id it is connected with.
+    """(id, component) of every node of ``edges`` (a, b: bigint): the smallest id it is connected with.
 
-    Alternating large-star and small-star rounds: every node hooks its neighbours to the
-    smallest one it knows, until no edge changes. Groups keep a minimum only, so no
-    neighbourhood is gathered; each round is a written table.
+    Each partition first folds its own edges into stars. Alternating large-star and small-star
+    rounds then hook the neighbours of every node to the smallest one it knows, until no edge changes.
+    Groups keep a minimum only, so no neighbourhood is gathered; each round is a written table.
     """
-    pairs = stored(
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name,
-    )
-    mark = None
+    ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = stored(ends.mapInArrow(_forests, "u bigint, v bigint"), name)
+    mark = _mark(pairs)
     while True:
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
-        large = large.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+        large = large.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x != y")
         small = hooked.union(low.select("u", "m")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
         pairs = stored(small, name)
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == mark:
+        before, mark = mark, _mark(pairs)
+        if before == mark:
             roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
-        mark = now
+
+
+def _mark(pairs: DataFrame):
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())

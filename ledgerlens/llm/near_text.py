@@ -8,12 +8,13 @@
    posterior probability that its similarity reaches the threshold falls below ``MISS``.
 4. Survivors are verified exactly, on the full sets of their texts.
 
-Links matter only for the components they make, so no bucket is expanded into its pairs. The first round
+Links matter only for the components they make, so pairs are never written out. The first round
 tests every member of a bucket against the bucket's smallest class: a row for each member. Classes
-found to be linked become one component, and later rounds look only at buckets that still hold several
-components: each class proposes its nearest 4, 16, 64, ... classes of other components there. The rounds
-end when all surviving pairs across components have been tested, so no link is lost to a cap. Large
-buckets are cut into blocks, and blocks meet in groups of bounded size.
+found to be linked become one component. The second round looks at buckets that still hold several
+components: large ones are cut into blocks, each block of the minority meets each stretch of
+the bucket in a group of bounded size, and a pair belongs to the first band it shares. Signatures name the classes of a group that have
+surviving pairs; their texts are sent to the group, which tests all such pairs exactly and returns a link for each
+two components it joins. Every surviving pair across components is tested, so no link is lost to a cap.
 
 Null texts, empty texts and texts of spaces have no shingles and link with nothing; a text with fewer
 words than a shingle is one shingle. Very long texts are read whole. Rows with a null id are returned with
@@ -41,7 +42,7 @@ HASHES = BANDS * ROWS
 #: Chance to drop a pair whose similarity reaches the threshold, at each step.
 MISS = 1e-5
 #: Classes of a bucket in one block, and members compared with a leader in one task's stretch.
-BLOCK, LEADER_ROWS = 1024, 512
+BLOCK, LEADER_ROWS = 512, 512
 #: Up to so many ids (16 MB) the ids of texts to be verified are sent to all tasks; beyond, they are joined by shuffle.
 SEND_IDS = 1_000_000
 
@@ -151,40 +152,94 @@ def _star_pairs(members: DataFrame, classes: DataFrame, threshold, miss: float)
     return both.select("a", "b", "sign_a", "sign_b").mapInArrow(_test(threshold, miss), "a bigint, b bigint")
 
 
-def _nearest(threshold, miss: float, nearest: int):
-    """For each group (bucket, stretch, block): pairs of a block's classes with their nearest ones of the stretch."""
+def _surviving(sign: np.ndarray, size: int, comp: int, signs: np.ndarray, sizes: np.ndarray, comps: np.ndarray, band: int, threshold, bounds) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the classes of other components whose pair with ``sign`` survives and belongs to ``band``, and their matches."""
+    at = np.flatnonzero((comps != comp) & (np.minimum(sizes, size) * threshold[1] >= np.maximum(sizes, size) * threshold[0]))
+    if not len(at):
+        return at, at
+    equal = signs[at] == sign
+    first = equal.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band
+    at = at[first]
+    got = survivors(np.broadcast_to(sign, (len(at), HASHES)), signs[at], bounds)
+    return at[got >= 0], got[got >= 0]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in bucket, stretch and block."""
+    key, rows = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            if row[:3] != key:
+                if rows:
+                    yield rows
+                key, rows = row[:3], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+_GROUP = ["bucket", "stretch", "block", "band", "proposes", "cls", "comp"]
+_GROUP_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+_GROUP_SCHEMA = "bucket bigint, stretch int, block int, band int, proposes boolean, cls bigint, comp bigint"
+
+
+def _involved(threshold, miss: float):
+    """The rows of each group that have a surviving pair."""
     bounds = _bounds(threshold, miss)
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        block = [r for r in rows if r[3]]
-        other = [r for r in rows if not r[3]]
-        if not block or not other:
-            return []
-        cls, comp, size = (np.array([r[i] for r in other], np.int64) for i in (4, 5, 6))
-        signs = _matrix([r[7] for r in other])
-        out = []
-        for r in block:
-            at = np.flatnonzero((comp != r[5]) & (np.minimum(size, r[6]) * threshold[1] >= np.maximum(size, r[6]) * threshold[0]))
-            if not len(at):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, [*_GROUP, "n_shingles", "sign"]):
+            asking, other = [r for r in rows if r[4]], [r for r in rows if not r[4]]
+            if not asking or not other:
                 continue
-            got = survivors(np.broadcast_to(np.frombuffer(r[7], np.uint32), (len(at), HASHES)), signs[at], bounds)
-            best = np.argsort(-got, kind="stable")[:nearest]
-            out.extend((min(r[4], int(cls[at[i]])), max(r[4], int(cls[at[i]]))) for i in best if got[i] >= 0)
-        return out
+            comps, sizes = (np.array([r[i] for r in other], np.int64) for i in (6, 7))
+            signs = _matrix([r[8] for r in other])
+            found, touched = [], np.zeros(len(other), bool)
+            for r in asking:
+                at, _ = _surviving(np.frombuffer(r[8], np.uint32), r[7], r[6], signs, sizes, comps, r[3], threshold, bounds)
+                if len(at):
+                    found.append(r[:7])
+                    touched[at] = True
+            found += [other[i][:7] for i in np.flatnonzero(touched)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _GROUP_TYPES, strict=True)], _GROUP)
+    return run
+
+
+def _join_components(words: int, threshold, miss: float):
+    """Links that join components, from all surviving pairs of each group."""
+    bounds = _bounds(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for b in batches:
-            pairs = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "stretch", "block", "proposes", "cls", "comp", "n_shingles", "sign")), strict=True):
-                if row[:3] != key:
-                    pairs += compare(rows)
-                    key, rows = row[:3], []
-                rows.append(row)
-            if pairs:
-                yield _pairs(pairs)
-        if found := compare(rows):
-            yield _pairs(found)
+        for rows in _grouped(batches, [*_GROUP, "text", "digest"]):
+            ready = []
+            for r in rows:
+                s = shingles(r[7], words)
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == r[8]:  # else another text under the same id
+                    ready.append((r, s, signature(s)))
+            asking, other = [x for x in ready if x[0][4]], [x for x in ready if not x[0][4]]
+            if not asking or not other:
+                continue
+            comps, sizes = np.array([x[0][6] for x in other], np.int64), np.array([len(x[1]) for x in other], np.int64)
+            signs = np.stack([x[2] for x in other])
+            root: dict[int, int] = {}
+
+            def find(c: int, root=root) -> int:
+                while root.get(c, c) != c:
+                    root[c] = root.get(root[c], root[c])
+                    c = root[c]
+                return c
+
+            links = []
+            for r, s, sign in asking:
+                at, got = _surviving(sign, len(s), r[6], signs, sizes, comps, r[3], threshold, bounds)
+                for i in at[np.argsort(-got, kind="stable")]:
+                    a, b = find(r[6]), find(int(comps[i]))
+                    if a != b and linked(len(np.intersect1d(s, other[i][1], assume_unique=True)), len(s), len(other[i][1]), threshold):
+                        root[max(a, b)] = min(a, b)
+                        links.append((r[5], other[i][0][5]))
+            if links:
+                yield _pairs(links)
     return run
 
 
@@ -193,13 +248,13 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _block_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, threshold, miss: float, nearest: int) -> DataFrame:
-    """Surviving pairs across components in buckets that hold several.
+def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold, miss: float) -> DataFrame:
+    """Links (a, b) across components in buckets that hold several.
 
     All classes of a bucket outside its largest component propose. They are cut into blocks, all classes
     into stretches, and each block meets each stretch, so a group has two times ``BLOCK`` rows or so.
     """
-    here = members.select("bucket", "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    here = members.select("bucket", "band", "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     parts = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     cut = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -210,11 +265,20 @@ def _block_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, thres
     asked = rows.select("*", every("blocks").alias("block"), F.pmod(h, F.col("stretches")).cast("int").alias("stretch"), F.lit(False).alias("proposes"))
     asking = rows.where("comp != main").select(
         "*", F.pmod(F.shiftright(h, 20), F.col("blocks")).cast("int").alias("block"), every("stretches").alias("stretch"), F.lit(True).alias("proposes"))
-    cols = ["bucket", "stretch", "block", "proposes", "cls", "comp", "n_shingles", "sign"]
-    groups = asked.select(cols).union(asking.select(cols))
-    parts_n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    groups = groups.repartition(parts_n, "bucket", "stretch", "block").sortWithinPartitions("bucket", "stretch", "block")
-    return groups.mapInArrow(_nearest(threshold, miss, nearest), "a bigint, b bigint").distinct()
+    cols = [*_GROUP, "n_shingles", "sign"]
+    n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    together = lambda df: df.repartition(n, "bucket", "stretch", "block").sortWithinPartitions("bucket", "stretch", "block")
+    involved = stored(together(asked.select(cols).union(asking.select(cols))).mapInArrow(_involved(threshold, miss), _GROUP_SCHEMA), "involved")
+    texts = _texts(involved.select("cls"), classes, docs)
+    return together(involved.join(texts, "cls").select(*_GROUP, "text", "digest")).mapInArrow(
+        _join_components(words, threshold, miss), "a bigint, b bigint").distinct()
+
+
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, text, digest) of the classes named in ``wanted``."""
+    need = stored(wanted.distinct().join(classes.select("cls", "doc_id", "digest"), "cls"), "need")
+    ids = F.broadcast(need) if need.count() <= SEND_IDS else need
+    return stored(docs.join(ids, "doc_id").select("cls", "text", "digest"), "texts")
 
 
 def _verify(words: int, threshold):
@@ -239,9 +303,7 @@ def _verify(words: int, threshold):
 def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold; each text is sent once for each pair, a leader's once a stretch."""
     spark = pairs.sparkSession
-    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "digest"), "cls"), "need")
-    ids = F.broadcast(need) if need.count() <= SEND_IDS else need
-    texts = stored(docs.join(ids, "doc_id").select("cls", "text", "digest"), "texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("cls")), classes, docs)
     sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     leads = sized.select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / LEADER_ROWS).cast("int"))).alias("stretch"))
     stretches = (F.floor(F.col("n") / LEADER_ROWS) + 1).cast("int")
@@ -253,6 +315,10 @@ def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, th
     return rows.mapInArrow(_verify(words, threshold), "a bigint, b bigint").distinct()
 
 
+def _named(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("cls"), F.col("component").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                     threshold: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document; ``threshold`` is a fraction."""
@@ -264,22 +330,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sign", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)])
-    banded = classes.select("cls", F.explode(bands).alias("bucket"))
+    banded = classes.select("cls", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").drop("last")
     members = stored(banded.join(shared, "bucket"), "members")
 
-    tested = stored(_star_pairs(members, classes, threshold, miss), "tested")
-    links = stored(_exact(tested, classes, docs, words, threshold), "links")
-    nearest = 4
-    while True:
-        comps = components(links).select(F.col("id").alias("cls"), F.col("component").alias("comp"))
-        found = _block_pairs(members, comps, classes, threshold, miss, nearest)
-        new = stored(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        links = links.unionByName(stored(_exact(new, classes, docs, words, threshold), "links"))
-        tested = tested.unionByName(new)
-        nearest *= 4
+    pairs = stored(_star_pairs(members, classes, threshold, miss), "pairs")
+    links = stored(_exact(pairs, classes, docs, words, threshold), "links")
+    found = _named(components(links))
+    links = links.unionByName(stored(_across(members, found, classes, docs, words, threshold, miss), "links"))
+    comps = _named(components(links))
 
     named = classes.select("digest", "cls", "doc_id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     roots = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.common import components, stored, table
+from ledgerlens.llm.common import components, forest, stored, table
 from ledgerlens.plans.registry import Query
 
 COSINE = 0.9
@@ -119,24 +119,6 @@ def _index(model, probes: int):
 _INDEX = "list int, holds boolean, cls bigint, weight bigint, home int, unit binary, codes binary, error double, probes binary"
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component) of a graph given by index pairs."""
-    nodes, flat = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = flat[:len(left)], flat[len(left):]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    out = label != np.arange(len(nodes))
-    return nodes[out], nodes[label[out]]
-
-
 def _search(model, cosine: float):
     """Streams sorted by (list, block), the block's classes first: counts of links and a forest of them."""
     reach = np.sqrt(2 - 2 * cosine)
