@@ -10,6 +10,8 @@ texts up for each language, and the sums give every classifier in closed form (l
 between the two sides of a bit, all languages weighing the same). All labelled rows count; the model is
 languages x cells in size whatever the input, and at most ``MAX_LANGUAGES`` languages are learned.
 
+In training a text weighs by its length.
+
 Null texts and texts without a letter are ``und`` with score 0. Very long texts are read whole. Null
 languages teach nothing; with nothing to learn from, every text is ``und``. Ties go to the first
 language by name. Repeated rows each get a row; empty tables give empty results. Further columns are kept;

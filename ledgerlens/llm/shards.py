@@ -7,8 +7,9 @@ draws of that child and of its subtree change; keys leave or enter that child, a
 other subtrees trade nothing among themselves.
 
 A shard that is added as a region of its own takes rows only into itself (law ``key``).
-A shard added to an existing rack makes that rack and region heavier: rows may enter any
-shard of that rack, and no other.
+A shard that is added to a rack, or made heavier there, makes its rack and region heavier too: rows of other
+regions may enter any shard of its region, rows of that region only its rack, and rows of the rack only the
+shard itself. Nothing moves between the other subtrees.
 
 Draws are digests, so the same placement can be computed anywhere. Null keys are drawn as
 the text ``null``, all to one shard; null texts have no bytes; rows repeated whole are

@@ -113,7 +113,7 @@ def test_language_edges(spark):
     rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (2, "das haus und der garten", "de"), (3, "la maison et le jardin", "fr"),
             (4, None, "en"), (5, "", "en"), (6, "12 34 !?", "de"), (7, "the garden", None), (None, "der garten", "de"), (8, "und das " * 60_000, "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'old' as lang_pred", "'x' as cell")
-    model = language.train(docs)
+    model = language.train(docs.where("doc_id is null or doc_id < 8"))  # the long text would be nearly all there is to learn
     assert model["names"] == ["de", "en", "fr"]
     got = language.identify(docs, model).collect()
     assert [r.lang_pred for r in got] == ["en", "de", "de", "fr", "und", "und", "und", "en", "de", "de"]
