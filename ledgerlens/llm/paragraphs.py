@@ -8,6 +8,19 @@ Units of fewer than ``least_words`` words always stay.
 Digests are counted before they are shuffled, so a unit that every document holds moves once for each
 task; only units that repeat are joined back.
 
+A passage may also repeat inside longer lines or across line breaks. ``repeated_passages`` finds every run of
+``RUN_WORDS`` words (normalised in the same way) that stands at an earlier place too, wherever its lines end:
+
+1. Each window of ``RUN_WORDS`` words chooses its group of ``GRAM`` words with the least hash. Equal windows choose
+   alike, so only the chosen groups (one for about 13 words) are rows, each with a digest of the words of all windows
+   that chose it: a stretch.
+2. Stretches that are equal as a whole are repeats of the first of them.
+3. Where stretches agree in the chosen group only, the windows of the first of each kind are compared by digests.
+
+No such run is missed and none is found that does not repeat, up to collisions of 128-bit digests. A window that
+overlaps its own first place (a text that repeats one word) stays. ``remove_repeats`` removes repeated units and passages; each removed word stands
+in an equal unit or passage at an earlier place.
+
 Null and empty texts hold no units. Very long texts give a row for each unit and are never gathered. Documents with a null
 id stay as they are and count for nothing. Rows that repeat an id and a text tie in every place: all of
 them stay as the first does. An empty table gives an empty result. ``remove_units`` keeps further columns.
@@ -19,7 +32,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm.common import stored, table
@@ -27,6 +42,9 @@ from ledgerlens.plans.registry import Query
 
 LEAST_WORDS = 5
 LINE, PARAGRAPH = r"\n", r"\n[ \t]*\n"
+#: Words of a passage, and of the groups by which equal passages meet.
+RUN_WORDS, GRAM = 51, 26
+BATCH_ROWS = 20_000
 
 
 def _units(separator: str, least_words: int):
@@ -68,9 +86,145 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
+def _located(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Normalised words of a text, and where each starts and ends in it."""
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    b = np.frombuffer(raw, np.uint8)
+    space = np.concatenate([[True], (b == 32) | ((b >= 9) & (b <= 13)), [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80, dtype=np.int32)])
+    return raw.split(), chars[edges[0::2]], chars[edges[1::2]]
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` words in a row, from those of the words."""
+    size = 1
+    while 2 * size <= n:
+        h = _mixed(h[:len(h) - size], h[size:])
+        size *= 2
+    return h if size == n else _mixed(h[:len(h) - (n - size)], h[n - size:])
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _batch(b: pa.RecordBatch, rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """Rows (place in ``b``, value...) with the id and version at that place."""
+    row, *cols = zip(*rows, strict=True)
+    take = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [b.column("doc_id").take(take), b.column("version").take(take), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "version", *names])
+
+
+def _stretches(run_words: int, gram: int):
+    names, types = ["gram", "digest", "at", "n", "start", "end"], [pa.int64(), pa.binary(), *[pa.int32()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words, starts, ends = _located(text)
+                if len(words) < run_words:
+                    continue
+                g = _grams(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), gram)
+                chosen = np.lib.stride_tricks.sliding_window_view(g, run_words - gram + 1).argmin(1)
+                chosen += np.arange(len(chosen))
+                cuts = np.flatnonzero(np.diff(chosen)) + 1
+                for at, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chosen)], strict=True):
+                    last = stop + run_words - 1
+                    rows.append((i, g[chosen[at]].view(np.int64), _digest(words[at:last]), at, stop - at, starts[at], ends[last - 1]))
+                    if len(rows) >= BATCH_ROWS:
+                        yield _batch(b, rows, names, types)
+                        rows = []
+            if rows:
+                yield _batch(b, rows, names, types)
+    return run
+
+
+def _windows(run_words: int):
+    """Every window of the stretches (at, n) named beside a text."""
+    names, types = ["digest", "at", "start", "end"], [pa.binary(), *[pa.int32()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, (text, wanted) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
+                words, starts, ends = _located(text)
+                for w in wanted:
+                    rows += [(i, _digest(words[at:at + run_words]), at, starts[at], ends[at + run_words - 1]) for at in range(w["at"], w["at"] + w["n"])]
+                    if len(rows) >= BATCH_ROWS:
+                        yield _batch(b, rows, names, types)
+                        rows = []
+            if rows:
+                yield _batch(b, rows, names, types)
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each row in order, those that overlap or touch as one."""
+    for b in batches:
+        out = []
+        for spans in b.column("spans").to_pylist():
+            made = []
+            for start, end in sorted((s["start"], s["end"]) for s in spans):
+                if made and start <= made[-1]["end"]:
+                    made[-1]["end"] = max(made[-1]["end"], end)
+                else:
+                    made.append({"start": start, "end": end})
+            out.append(made)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(out, kind)], ["doc_id", "version", "spans"])
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram: int = GRAM) -> DataFrame:
+    """(doc_id, version, start, end) of stretches that together cover each run of ``run_words`` words or more with an equal at an
+    earlier (doc_id, version, word). They may overlap."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    place = F.struct("doc_id", "version", "at")
+    same_text = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    apart = ~same_text | (F.col("at") >= F.col("first.at") + run_words)
+
+    stretches = stored(docs.mapInArrow(
+        _stretches(run_words, gram), f"doc_id {kind}, version bigint, gram bigint, digest binary, at int, n int, start int, end int"), "stretches")
+    kinds = stored(stretches.groupBy("gram", "digest").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k")), "kinds")
+    equal = stretches.join(kinds.where("k > 1").select("gram", "digest", "first"), ["gram", "digest"])
+    whole = equal.where(apart).select("doc_id", "version", "start", "end")
+
+    # the first of each kind, where kinds share a group of words; and what overlaps its own first
+    several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
+    near = equal.where(~apart & (F.col("at") != F.col("first.at")))
+    wanted = kinds.join(several, "gram").select("first.*", "n").union(near.select("doc_id", "version", "at", "n")).union(near.select("first.*", "n"))
+    wanted = wanted.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n")).alias("wanted"))
+    windows = stored(docs.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted").mapInArrow(
+        _windows(run_words), f"doc_id {kind}, version bigint, digest binary, at int, start int, end int"), "windows")
+    firsts = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    return whole.union(windows.join(firsts, "digest").where(apart).select("doc_id", "version", "start", "end"))
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, least_words: int = LEAST_WORDS,
+                   run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, version and the spans of repeated units and passages together, for documents that lose something."""
+    units = repeated_units(docs, doc_id, text, separator, least_words).select("doc_id", "version", "start", "end")
+    found = units.union(repeated_passages(docs, doc_id, text, run_words, (run_words + 1) // 2))
+    found = found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return found.mapInArrow(_merged, found.schema)
+
+
 def remove_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without repeated units (their separators stay), with ``removed``: spans in the original text."""
-    spans = removed_spans(docs, doc_id, text, separator, least_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("removed"))
+    return _without(docs, removed_spans(docs, doc_id, text, separator, least_words), doc_id, text)
+
+
+def _without(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("removed"))
     named = docs.drop("removed").join(spans, (F.col(doc_id) == F.col("_id")) & (F.xxhash64(text) == F.col("_version")), "left").drop("_id", "_version")
     ends = F.transform("removed", lambda s: s["end"])
     before = lambda i: F.when(i > 0, F.element_at(ends, F.greatest(i, F.lit(1)))).otherwise(F.lit(0))
@@ -79,10 +233,25 @@ def remove_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     return named.withColumn(text, F.when(F.size("removed") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text)))
 
 
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, least_words: int = LEAST_WORDS,
+                   run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` without repeated units and passages, with ``removed`` as in ``remove_units``."""
+    return _without(docs, repeated_spans(docs, doc_id, text, separator, least_words, run_words), doc_id, text)
+
+
+def documents_without_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the spans that repeat an earlier line, or a passage of more than 50 words wherever its lines end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _summary(docs, repeated_spans(docs))
+
+
 def documents_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the line spans that repeat an earlier line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = removed_spans(docs)
+    return _summary(docs, removed_spans(docs))
+
+
+def _summary(docs: DataFrame, spans: DataFrame) -> DataFrame:
     out = docs.select("doc_id", F.xxhash64("text").alias("version"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).join(spans, ["doc_id", "version"], "left")
     lost = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]), F.lit(0))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
@@ -102,4 +271,5 @@ select doc_id, coalesce(n_removed, 0) as n_removed, cast(coalesce(length(text),
 from documents left join s using (doc_id)
 """
 
-QUERIES = {"op6_line_dedup": Query(documents_without_repeats, ORACLE)}
+#: The SQL of ``op6_line_dedup`` holds whole lines; the first query also finds passages, and tests compare it with brute force.
+QUERIES = {"op6_passage_dedup": Query(documents_without_passages), "op6_line_dedup": Query(documents_without_repeats, ORACLE)}

@@ -38,6 +38,30 @@ def near_texts(docs, words=4, threshold=(80, 100)):
     return {i: (len(sets[i]), comp[i]) for i in ids}
 
 
+def repeated_spans(docs, run=51, least=5):
+    """doc_id -> merged spans of repeated lines and of repeated runs of ``run`` words; ids are unique."""
+    first, found = {}, {i: [] for i, _ in docs}
+    for i, text in sorted((i, t) for i, t in docs if t):
+        lines = [(m.start(), m.end(), m[0].encode().lower().split()) for m in re.finditer(r"[^\n]+", text)]
+        words = [(m.start(), m.end(), m[0].encode().lower()) for m in re.finditer(r"[^ \t-\r]+", text)]
+        for start, end, unit in lines:
+            if len(unit) >= least and first.setdefault(("line", *unit), (i, start)) != (i, start):
+                found[i].append((start, end))
+        for k in range(len(words) - run + 1):
+            at = first.setdefault(tuple(w[2] for w in words[k:k + run]), (i, k))
+            if at[0] != i or k >= at[1] + run:
+                found[i].append((words[k][0], words[k + run - 1][1]))
+    out = {}
+    for i, spans in found.items():
+        out[i] = []
+        for start, end in sorted(spans):
+            if out[i] and start <= out[i][-1][1]:
+                out[i][-1] = (out[i][-1][0], max(end, out[i][-1][1]))
+            else:
+                out[i].append((start, end))
+    return out
+
+
 RULES = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),

@@ -192,3 +192,43 @@ def test_line_dedup_edges(spark):
     assert paragraphs.remove_units(docs).count() == 9 and paragraphs.remove_units(docs.limit(0)).count() == 0
     para = spark.createDataFrame([(1, "a b c d e\nf\n\nx"), (2, "y\n \nA b  c d e f")], "doc_id long, text string")
     assert [r.text for r in paragraphs.remove_units(para, separator=paragraphs.PARAGRAPH).orderBy("doc_id").collect()] == ["a b c d e\nf\n\nx", "y\n \n"]
+
+
+def test_passages_inside_longer_lines(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdEé") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    passage, short = some(51), some(50)
+    around = lambda p: " ".join([*some(rng.randint(0, 90)), *p, *some(rng.randint(0, 90))])
+    texts = [around(passage), around(passage), around([w.upper().replace("É", "é") for w in passage]), around(short), around(short), "\n".join(passage), "  " + "\t\n ".join(passage) + " "]
+    texts += ["x " * 500, "x " * 120, "p q r " * 60, "", " \n"]
+    long = some(400)
+    for edits in (0, 0, 1, 2, 3, 5):
+        copy = list(long)
+        for _ in range(edits):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(some(rng.randint(0, 5)) + copy[rng.randint(0, 60):]))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([*rows, rows[1], (None, texts[0]), (99, None)], "doc_id long, text string").selectExpr("*", "1 as at", "'g' as gram", "0 as removed")
+    want = brute.repeated_spans(rows)
+    got = paragraphs.remove_repeats(docs).collect()
+    assert len(got) == len(rows) + 3
+    for r in got:
+        spans = [(s.start, s.end) for s in r.removed or []]
+        if r.doc_id in (None, 99):
+            assert not spans
+            continue
+        assert spans == want[r.doc_id], r.doc_id
+        kept = [texts[r.doc_id][a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(texts[r.doc_id])])]
+        assert r.text == "".join(kept)
+    assert want[1] and want[2] and want[6] and not want[4] and want[7] == [(102, 999)]
+    assert paragraphs.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_passage_query_against_brute(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    want = brute.repeated_spans(list(docs.items()))
+    for r in paragraphs.documents_without_passages(spark, sf).collect():
+        assert r.removed == ",".join(f"{a}:{b}" for a, b in want[r.doc_id]) and r.n_removed == len(want[r.doc_id]), r.doc_id
+        assert r.chars_kept == len(docs[r.doc_id] or "") - sum(b - a for a, b in want[r.doc_id])
