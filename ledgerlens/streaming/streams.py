@@ -71,11 +71,30 @@ def fold_jobs(events: DataFrame, name: str = "jobs", folder: str | None = None)
 
 
 def dedupe_jobs(events: DataFrame, keys: list[str], late: str = "24 hours") -> DataFrame:
-    """One row per key among rows at most ``late`` apart (T5); state expires with the watermark."""
+    """One row per key among rows at most ``late`` apart (T5); state expires with the watermark.
+
+    For sources in time order only: a row more than ``late`` behind the newest one of earlier batches is
+    dropped even when it is the first of its key. ``fold_dedupe`` loses none.
+    """
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return stamped.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """The row of each key that is first by ``order``; combines map-side."""
+    rest = [c for c in rows.columns if c not in keys]
+    row = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    return rows.groupBy(*keys).agg(row).select(*keys, "_row.*").select(*rows.columns)
+
+
+def fold_dedupe(events: DataFrame, keys: list[str], folder: str | None = None) -> tuple[str, str]:
+    """Reduce every micro-batch to one row per key; ``first_rows`` over what is read back joins them (T5).
+
+    Nothing is held between batches, so a row counts however late it comes and whatever came before it.
+    """
+    return run_available(events, "dedupe", folder=folder, fold=lambda batch: first_rows(batch, keys))
+
+
 class JobTracker(StatefulProcessor):
     """Keyed job state that expires after its last write and times out long phases.
 

@@ -52,6 +52,19 @@ def test_restart_processes_new_files_only(spark, tmp_path):
     assert sorted(r["seq"] for r in ST.read_back(spark, table).collect()) == [*range(1, 10), 100]
 
 
+def test_dedupe_keeps_late_first_rows(spark, tmp_path):
+    day = 86_400
+    newest = [(1, 1, 30 * day, "complete"), (1, 2, 29 * day, "pending")]
+    late = [(2, 3, 0, "pending"), (1, 2, 29 * day, "pending"), (2, 4, 5 * day, "complete")]
+    again = [(2, 3, 0, "pending"), (3, 5, 1, "pending")]
+    for part in (newest, late, again):
+        events(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events(spark).schema).parquet(str(tmp_path / "in"))
+        table, _ = ST.fold_dedupe(stream, ["seq"], folder=str(tmp_path / "out"))
+    got = ST.first_rows(ST.read_back(spark, table), ["seq"])
+    assert rows(got) == rows(events(spark, sorted({*newest, *late, *again})))
+
+
 def test_tracker(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     events(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
