@@ -62,6 +62,18 @@ def test_vector_recall_on_the_table(spark):
     assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_vector_recall_with_more_lists_than_probes(spark):
+    # 8,000 vectors make 44 lists, so 16 probes leave 28 of them out
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(4000, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.45])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((unit[at:at + 1000] @ unit.T >= near_vectors.COSINE).sum()) for at in range(0, len(unit), 1000)) - len(unit)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = near_vectors.linked_vectors(df).agg({"n_links": "sum"}).first()[0]
+    assert want > 1000 and 0.9 * want <= got <= want
+
+
 def test_table_distance_bound_loses_nothing():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 24))
