@@ -15,6 +15,15 @@ def with_columns_present(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by ``keys`` over all shuffle partitions, whatever their bytes.
+
+    For steps whose cost the bytes do not tell (scoring, parsing): a source of one file, or a
+    small table, would otherwise be one busy task. A stated number is not merged again by AQE.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last-write-wins row per key.
 
