@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlens.llm.common import components, stored, table
 from ledgerlens.plans.registry import Query
 
-WORDS, THRESHOLD = 4, (80, 100)
+WORDS, THRESHOLD = 5, (80, 100)
+#: Shingles of the registered query.
+QUERY_WORDS = 4
 BANDS, ROWS, STEP = 32, 4, 32
 HASHES = BANDS * ROWS
 #: Chance to drop a pair whose similarity reaches the threshold, at each step.
@@ -118,8 +120,8 @@ def _sign(words: int):
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sign.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sign"])
+                [b.column("doc_id"), b.column("version"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())],
+                ["doc_id", "version", "n_shingles", "digest", "sign"])
     return run
 
 
@@ -321,10 +323,14 @@ def _named(found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                     threshold: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document; ``threshold`` is a fraction."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, version, n_shingles, group, component_id and kept for every row; ``threshold`` is a fraction.
+
+    ``version`` is a hash of the text, for rows that share an id but not a text. ``group`` numbers the components, also those whose smallest
+    ids are the same; it is null without shingles.
+    """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(docs.mapInArrow(_sign(words), f"doc_id {kind}, n_shingles bigint, digest binary, sign binary"), "signed")
+    signed = stored(docs.mapInArrow(_sign(words), f"doc_id {kind}, version bigint, n_shingles bigint, digest binary, sign binary"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
@@ -342,16 +348,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     named = classes.select("digest", "cls", "doc_id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     roots = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_digest = named.join(roots, "comp").select("digest", "component_id")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest"))
+    by_digest = named.join(roots, "comp").select("digest", F.col("comp").alias("group"), "component_id")
+    out = signed.select("doc_id", "version", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest"))
     return out.join(by_digest, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "version", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"),
         (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: its smallest id, of that id's texts the one with the smallest hash.
+
+    Rows that share an id are documents of their own where their texts differ. Rows that repeat an id and a text are one, with the smallest of their
+    other columns. Documents without shingles are in no group and stay; so do all rows without an id.
+    """
+    found = near_duplicates(docs, doc_id, text, words, threshold).where("kept").select("doc_id", "version", "group")
+    grouped = found.where("group is not null").groupBy("group", "doc_id").agg(F.min("version").alias("version")).select("doc_id", "version")
+    stays = grouped.union(found.where("group is null").select("doc_id", "version").distinct()).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    rest = [c for c in docs.columns if c != doc_id]
+    named = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_version")).agg(F.min(F.struct(*rest)).alias("_row"))
+    kept = named.join(stays, ["_id", "_version"], "left_semi").select(F.col("_id").alias(doc_id), "_row.*").select(*docs.columns)
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near-duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), words=QUERY_WORDS).drop("version", "group")
 
 
 QUERIES = {"op3_bayes_minhash": Query(near_duplicate_documents)}

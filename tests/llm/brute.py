@@ -20,7 +20,7 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def near_texts(docs, words=4, threshold=(80, 100)):
+def near_texts(docs, words=5, threshold=(80, 100)):
     """doc_id -> (n_shingles, component)."""
     sets = {}
     for i, text in docs:

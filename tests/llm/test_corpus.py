@@ -293,6 +293,27 @@ def test_shard_edges(spark, tmp_path):
 
 # ---- pipeline
 
+def test_near_text_query_against_brute(spark, sf_dir):
+    """The query takes shingles of four words; the operator's own default, and so the pipeline's, is five."""
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    found = near_text.QUERIES["op3_bayes_minhash"].run(spark, sf_dir)
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == brute.near_texts(docs, words=4) and near_text.WORDS == 5
+    five = {r.doc_id for r in near_text.near_duplicates(table(spark, sf_dir, "documents")).where("kept").collect()}
+    assert five == {i for i, (_, c) in brute.near_texts(docs).items() if i == c} != {i for i, (_, c) in got.items() if i == c}
+
+
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(1, same, "a"), (1, "completely other words stand in this one row", "b"), (2, same, "c"), (2, "one more text that nothing else comes near to", "d"),
+            (3, same + " eleven", "e"), (4, "", "f"), (4, None, "g"), (4, "", "f"), (5, "alone with few words", "z"), (5, "alone with few words", "y"), (None, same, "h"), (None, same, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string")
+    got = sorted(near_text.one_of_each(docs).collect(), key=repr)
+    stays = [rows[0], rows[1], rows[3], rows[5], rows[6], rows[9], rows[10], rows[11]]
+    assert [tuple(r) for r in got] == sorted(stays, key=lambda r: repr(docs.sparkSession.createDataFrame([r], docs.schema).first()))
+
+
 def test_pipeline_against_brute(spark, sf_dir):
     import corpus_pipeline
 
