@@ -5,6 +5,10 @@ decontaminate: documents that hold benchmark passages beyond the coverage limit
 place. packing: what is left becomes pieces placed in sequences.
 
 Every stage reads its predecessor's rows from a written table, so a lost executor costs one stage at most.
+
+Null and empty texts have no language and go with the first stage. Rows without an id stay as they are in the second, which takes rows that share
+an id for documents of their own where their texts differ, and for one where they repeat it; of equal texts the smallest id stays. Very
+long texts are read whole; only packing cuts them. An empty table gives an empty result. Further columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -23,10 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near-duplicates, once; rows without an id stay."""
-    others = near_text.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keep one document of each group of near-duplicates, the smallest id's; see the operator for rows that share an id."""
+    return near_text.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
