@@ -114,8 +114,11 @@ def record_of(wide: DataFrame, *also: str) -> DataFrame:
 
 
 def build_po(fields: DataFrame) -> DataFrame:
-    """Pivot field rows into the nested record, without items: one shuffle on the document."""
-    return record_of(fields.filter(F.col("value").isNotNull()).groupBy("document_id").agg(*record_values()))
+    """Pivot field rows into the nested record, without items: one shuffle on the document.
+
+    A document whose fields are all empty has an empty record: reviewers correct it, so it must not get lost.
+    """
+    return record_of(fields.groupBy("document_id").agg(*record_values()))
 
 
 def flat_header(po: DataFrame) -> DataFrame:
@@ -205,17 +208,18 @@ def assemble_results(fields: DataFrame, flags: DataFrame, items: DataFrame | Non
     Fields are grouped once for the record, the score, the flagged set and the field map, flags once for
     their list, counts and named fields. Rows named ``line_items.N`` count in the score and
     in no list. ``items`` adds the items as one JSON array text; ``routing`` may add per-document
-    columns (primary model, timing, ...). All joins are on ``document_id``.
+    columns (primary model, timing, ...). All joins are on ``document_id``. Every document with field rows has a result, with
+    confidence 0 where no field has a value.
     """
     item_row = F.col("field_path").startswith("line_items.")
     entry = F.struct("field_path", F.struct("value", "confidence", F.col("source_model").alias("source")))
     weakest = F.min(F.when(F.col("value").isNotNull(), F.col("confidence")))
     grouped = fields.groupBy("document_id").agg(
-        *record_values(), F.count("value").alias("_values"),
+        *record_values(),
         F.round(F.coalesce(weakest, F.lit(0.0)), 3).alias("overall_confidence"),
         F.collect_set(F.when(F.col("flagged") & ~item_row, F.col("field_path"))).alias("_flagged"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(~item_row, entry)))).alias("fields"))
-    po = record_of(grouped.filter("_values > 0"), "overall_confidence", "_flagged", "fields")
+    po = record_of(grouped, "overall_confidence", "_flagged", "fields")
     error = F.col("severity") == "error"
     raised = flags.groupBy("document_id").agg(
         F.count_if(error).alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"),

@@ -67,7 +67,7 @@ WIDE = f"""(select document_id, {_pick('po_number')} po_number, {_pick('po_date'
   {_pick('payment_terms')} payment_terms, case when length({_pick('currency')}) = 3 then {_pick('currency')} end currency,
   {_pick('vendor.name')} vendor_name, {_pick('vendor.email')} vendor_email, {_pick('buyer.name')} buyer_name,
   {", ".join(f"case when regexp_full_match({_pick('totals.' + k)}, '{_NUMERIC}') then try_cast({_pick('totals.' + k)} as double) end {k}" for k in ('subtotal', 'shipping', 'grand_total'))}
-  from {MERGED} m where value is not null group by document_id)"""
+  from {MERGED} m group by document_id)"""
 
 
 @query(f"""select *, vendor_name is null and vendor_email is null as no_vendor, buyer_name is null as no_buyer from {WIDE} w""")

@@ -91,13 +91,13 @@ _LONG = (
     + " end as value from (select *, [one_to_eleven] as k from ({fx_po}) po) numbered"
 )
 
-# first extraction pass, long form
+# first extraction pass, long form; of some documents nothing could be read
 VIEWS["fx_primary"] = f"""
 select document_id, k, field_path, value,
        case when value is null then cast(0 as double)
             else cast((document_id * 7 + k * 13) % 101 as double) / cast(100 as double) end as confidence,
        'local' as source_model
-from ({_LONG}) long_fields
+from (select document_id, k, field_path, case when document_id % 113 = 0 then null else value end as value from ({_LONG}) long_fields) l
 """
 
 # second pass: only what the first left under the threshold

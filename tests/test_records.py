@@ -237,3 +237,23 @@ def test_pages_and_quality(spark):
     assert {r[0]: r[1] for r in L.doc_quality(pages.select("document_id").distinct(), lines).collect()} == {1: 0.6, 2: 0.5}
     boxes = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0, 1), (1.0, 0.0, 1.0, 1.0, 1), (None, 0.0, 1.0, 1.0, 1)], "x0 double, y0 double, x1 double, y1 double, page int")
     assert L.valid_boxes(boxes).count() == 1 and L.rejected_boxes(boxes).count() == 2
+
+
+def test_documents_without_a_value_have_a_result(spark):
+    """Nothing could be read of document 2, and 3 has a flag besides: both are what a reviewer has to see."""
+    fields = spark.createDataFrame(
+        [(1, "po_number", "PO-1", 0.9, "local", False), (2, "po_number", None, 0.0, "local", True), (2, "vendor.name", None, 0.0, "local", True),
+         (3, "po_number", None, 0.0, "local", False)],
+        "document_id int, field_path string, value string, confidence double, source_model string, flagged boolean")
+    flags = spark.createDataFrame([(2, 1, "missing", "error", "no number", ["po_number"]), (3, 1, "missing", "error", "no number", ["po_number"])],
+                                  "document_id int, rule_order int, rule string, severity string, message string, affected_fields array<string>")
+    rows = {r["document_id"]: r for r in A.assemble_results(fields, flags).collect()}
+    assert set(rows) == {1, 2, 3}
+    assert (rows[2]["po_number"], rows[2]["vendor"], rows[2]["overall_confidence"], rows[2]["errors"], rows[2]["fields_flagged"]) == (
+        None, None, 0.0, 1, ["po_number", "vendor.name"])
+    assert len(rows[2]["fields"]) == 2 and rows[3]["fields_flagged"] == ["po_number"]
+    po = A.build_po(fields)
+    assert sorted(r["document_id"] for r in po.collect()) == [1, 2, 3]
+    fixes = spark.createDataFrame([(2, "po_number", "PO-2", 1)], "document_id int, field_path string, corrected_value string, seq int")
+    fixed = {r["document_id"]: r["po_number"] for r in E.apply_corrections(po, fixes).collect()}
+    assert fixed == {1: "PO-1", 2: "PO-2", 3: None}
