@@ -15,7 +15,7 @@ from ledgerlens.session import work_dir
 from ledgerlens.sinks import exports as E
 from ledgerlens.sources import files as S
 from ledgerlens.sources.views import AS_OF, duck, sql_text, table, view
-from ledgerlens.streaming import streams as ST
+from ledgerlens.streaming import maintained as MT, streams as ST
 
 CORR, APPR, JOBS, FILES, MAIL = (duck(n) for n in ("fx_corrections", "fx_approvals", "fx_jobs", "fx_files", "fx_mail"))
 
@@ -63,11 +63,16 @@ def _pick(path: str) -> str:
     return f"nullif(trim(max(case when field_path = '{path}' then value end)), '')"
 
 
-WIDE = f"""(select document_id, {_pick('po_number')} po_number, {_pick('po_date')} po_date, {_pick('due_date')} due_date,
+def wide_sql(fields: str) -> str:
+    """The header of every document from its field rows."""
+    return f"""(select document_id, {_pick('po_number')} po_number, {_pick('po_date')} po_date, {_pick('due_date')} due_date,
   {_pick('payment_terms')} payment_terms, case when length({_pick('currency')}) = 3 then {_pick('currency')} end currency,
   {_pick('vendor.name')} vendor_name, {_pick('vendor.email')} vendor_email, {_pick('buyer.name')} buyer_name,
   {", ".join(f"case when regexp_full_match({_pick('totals.' + k)}, '{_NUMERIC}') then try_cast({_pick('totals.' + k)} as double) end {k}" for k in ('subtotal', 'shipping', 'grand_total'))}
-  from {MERGED} m group by document_id)"""
+  from {fields} m group by document_id)"""
+
+
+WIDE = wide_sql(MERGED)
 
 
 @query(f"""select *, vendor_name is null and vendor_email is null as no_vendor, buyer_name is null as no_buyer from {WIDE} w""")
@@ -156,6 +161,40 @@ def apply_corrections(spark, d):
     return corrected(spark, d).drop("value_type", "raw_text")
 
 
+#: the reviewed rows of documents that have a result, the flags of the records they make, and the results
+REVIEWED = f"(select * from {CORRECTED} c where document_id in (select document_id from {MERGED} m))"
+REVIEWED_FLAGS = ALL_FLAGS_SQL.replace(PO, f"(select *, null::varchar as vendor_country from {wide_sql('reviewed')} w)")
+REVIEWED_RESULTS = f"""with reviewed as materialized {REVIEWED}, raised as materialized ({REVIEWED_FLAGS}),
+  named as (select document_id, field_path from reviewed where flagged union select document_id, unnest(string_split(affected_fields, ',')) from raised where severity = 'error')
+select document_id, po_number, vendor_name, c.overall_confidence, coalesce(fields_flagged, '') as fields_flagged,
+  coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(rules, '') as rules, n_human
+from {wide_sql('reviewed')} w
+join (select document_id, round(coalesce(min(case when value is not null then confidence end), 0::double), 3) overall_confidence,
+        count(*) filter (source_model = 'human') n_human from reviewed group by document_id) c using (document_id)
+left join (select document_id, array_to_string(list_sort(list(field_path)), ',') fields_flagged from named group by document_id) f using (document_id)
+left join (select document_id, count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings,
+           string_agg("rule", ',' order by "rule") rules from raised group by document_id) s using (document_id)"""
+
+
+def result_rows(fields, items):
+    """Results of field rows, with the flags of the records that these rows make."""
+    raised = R.validate(A.flat_header(A.build_po(fields)), items, AS_OF)
+    out = A.assemble_results(fields, raised)
+    human = F.size(F.filter(F.map_values("fields"), lambda f: f["source"] == "human")).cast("long")
+    return out.select("document_id", "po_number", F.col("vendor.name").alias("vendor_name"), "overall_confidence",
+                      F.array_join("fields_flagged", ",").alias("fields_flagged"), "errors", "warnings",
+                      F.array_join(F.array_sort(F.transform("flags", lambda f: f["rule"])), ",").alias("rules"), human.alias("n_human"))
+
+
+@query(REVIEWED_RESULTS)
+def reviewed_results(spark, d):
+    """Fields after review to records, their own flags and results, in one flow."""
+    fields = merged(spark, d).drop("disagrees")
+    fixes = view(spark, d, "fx_corrections").join(fields.select("document_id").distinct(), "document_id", "left_semi")
+    items = po_items(spark, d).join(fields.select("document_id").distinct(), "document_id", "left_semi")
+    return result_rows(V.apply_corrections(fields, fixes), items)
+
+
 @query(f"""select document_id, coalesce(array_to_string(list_sort(list(field_path) filter (not done)), ','), '') as fields_remaining,
   count(*) filter (not done) = 0 as all_cleared
   from (select f.document_id, f.field_path, c.field_path is not null as done
@@ -425,6 +464,19 @@ def stream_corrections(spark, d):
     return ST.read_back(spark, folder, keys=["document_id", "field_path"], order=("seq",))
 
 
+@query(REVIEWED_RESULTS)
+def stream_results(spark, d):
+    """Results kept up to date by three batches of corrections, odd ones first."""
+    base = f"{work_dir(spark)}/maintained-{uuid.uuid4().hex}"
+    MT.prepare(merged(spark, d).drop("disagrees"), po_items(spark, d), result_rows, base)
+    fixes = view(spark, d, "fx_corrections")
+    for part in (1, 2, 0):
+        fixes.filter(F.col("seq") % 3 == part).write.mode("append").parquet(f"{base}/in/part={part}")
+        stream = spark.readStream.schema(fixes.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        MT.maintain(stream, result_rows, base)
+    return MT.current_results(spark, base)
+
+
 @query(f"""select job_id, seq, status, null as error_message from {JOBS} j
   union all select job_id, seq, 'failed', 'Timed out after 600s.' from (
     select *, lead(ts) over (partition by job_id order by ts, seq) next_ts from {JOBS} j) x

@@ -165,6 +165,90 @@ def track_jobs(events: DataFrame, timeout_seconds: int = TASK_TIMEOUT_SECONDS,
         outputMode="Append", timeMode="ProcessingTime")
 
 
+class EventTimeTracker(StatefulProcessor):
+    """State changes, timeouts and expiry on the clock of the events.
+
+    Events wait in buckets of their own time until the watermark passes the bucket's end, whatever order or batch
+    they come in; then the bucket is walked in order of (time, seq). A replay therefore gives the same rows again. A
+    bucket is one entry of the state, so memory follows the events of one bucket of one job, not the job.
+    At a bucket's end, a processing phase that is older than the limit is reported once, and a job whose
+    last event is ``ttl`` old is forgotten. Events of buckets that have been walked are too late and are dropped.
+    """
+
+    def __init__(self, timeout_seconds: int, ttl_seconds: int, bucket_seconds: int):
+        self.timeout_ms, self.ttl_ms, self.bucket_ms = timeout_seconds * 1000, ttl_seconds * 1000, bucket_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string, at_ms long, seq long, reported boolean")
+        self.waiting = handle.getMapState("waiting", "bucket long", "at_ms array<long>, seq array<long>, status array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for chunk in rows:
+            for bucket, part in chunk.groupby(chunk["at_ms"] // self.bucket_ms):
+                bucket = int(bucket)
+                end = (bucket + 1) * self.bucket_ms
+                if end <= passed:
+                    continue
+                held = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else ([], [], [])
+                self.waiting.updateValue((bucket,), tuple(list(h) + part[c].tolist() for h, c in zip(held, ("at_ms", "seq", "status"))))
+                self.handle.registerTimer(end)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # all buckets that have ended, so the rows do not depend on how far the watermark jumped
+        end = timerValues.getCurrentWatermarkInMs() // self.bucket_ms * self.bucket_ms
+        last, out = self.last.get() if self.last.exists() else None, []
+        for bucket in sorted(b[0] for b in list(self.waiting.keys()) if (b[0] + 1) * self.bucket_ms <= end):
+            for at_ms, seq, status in sorted(set(zip(*self.waiting.getValue((bucket,))))):
+                last = self._until(key, last, at_ms, out)
+                out.append((key[0], seq, status, None))
+                last = (status, at_ms, seq, False)
+            self.waiting.removeKey((bucket,))
+        last = self._until(key, last, end, out)
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+            self.handle.registerTimer(self._after(last[1] + self.ttl_ms))
+            if last[0] == "processing" and not last[3]:
+                self.handle.registerTimer(self._after(last[1] + self.timeout_ms))
+        yield self._frame(out)
+
+    def _until(self, key, last, at_ms: int, out: list[tuple]):
+        """The last event as known at a later time: reported where it is a phase that lasts too long, forgotten where it is too old."""
+        if last is not None and last[0] == "processing" and not last[3] and at_ms - last[1] > self.timeout_ms:
+            out.append((key[0], last[2], "failed", f"Timed out after {self.timeout_ms // 1000}s."))
+            last = (*last[:3], True)
+        return None if last is None or at_ms - last[1] > self.ttl_ms else last
+
+    def _after(self, at_ms: int) -> int:
+        """The first end of a bucket that is later."""
+        return (at_ms // self.bucket_ms + 1) * self.bucket_ms
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["job_id", "seq", "status", "error_message"])
+
+    def close(self) -> None:
+        pass
+
+
+def track_jobs_in_event_time(events: DataFrame, late: str = "1 hour", timeout_seconds: int = TASK_TIMEOUT_SECONDS,
+                             ttl_seconds: int = STATE_TTL_SECONDS, bucket_seconds: int = 600) -> DataFrame:
+    """State changes of all jobs, with timeouts and expiry by the events' own times.
+
+    Rows may come ``late`` in any order. A bucket is walked once the watermark has passed its end; what is newer waits for
+    further events. ``bucket_seconds`` bounds what is held for a job at once.
+    """
+    kind = events.schema["job_id"].dataType.simpleString()
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    stamped = stamped.select("job_id", "seq", "status", "ts", F.unix_millis("ts").alias("at_ms"))
+    return stamped.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=EventTimeTracker(timeout_seconds, ttl_seconds, bucket_seconds),
+        outputStructType=f"job_id {kind}, seq long, status string, error_message string", outputMode="Append", timeMode="EventTime")
+
+
 # --- sinks -----------------------------------------------------------------------------------
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None,

@@ -131,3 +131,72 @@ def test_mail(spark):
     assert got == {1: None, 2: "subject does not match", 3: "not an attachment", 4: "no file name", 5: "type not allowed", 6: "empty", 7: "too large", 8: "container"}
     assert S.admit_attachments(parts).filter("message_id = 2").first()["reject_reason"] is None
     assert S.admit_attachments(parts).first()["sender"] == "unknown"
+
+
+def test_results_follow_corrections(spark, tmp_path):
+    """Only touched documents are computed anew; late corrections do not win over newer ones; unknown documents are rejected."""
+    from ledgerlens.operators import assemble as A
+    from ledgerlens.streaming import maintained as MT
+
+    names = ["po_number", "vendor.name"]
+    fields = spark.createDataFrame([(d, f, None if d == 7 else f"{f}{d}", 0.5, "local", f == "po_number") for d in range(40) for f in names],
+                                   "document_id long, field_path string, value string, confidence double, source_model string, flagged boolean")
+    items = spark.createDataFrame([(d, 0, "thing") for d in range(40)], "document_id long, pos int, description string")
+    none = spark.createDataFrame([], "document_id long, rule_order int, rule string, severity string, message string, affected_fields array<string>")
+
+    def compute(fields, items):
+        out = A.assemble_results(fields, none, items)
+        return out.select("document_id", "po_number", F.col("vendor.name").alias("vendor"), "overall_confidence", F.size("fields_flagged").alias("n"), "line_items")
+
+    folder = str(tmp_path / "m")
+    MT.prepare(fields, items, compute, folder)
+    schema = "document_id long, field_path string, corrected_value string, reviewer_id string, seq long"
+    batches = [[(3, "po_number", "new", "r", 5), (4, "vendor.name", "V", "r", 6), (99, "po_number", "x", "r", 7)],
+               [(3, "po_number", "old", "r", 2), (7, "po_number", "read", "r", 8)], [(4, "po_number", "P", "r", 9), (4, "po_number", "Q", "r", 10)]]
+    for rows_ in batches:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        MT.maintain(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), compute, folder)
+    got = MT.current_results(spark, folder)
+    fixes = spark.createDataFrame([r for b in batches for r in b if r[0] != 99], schema)
+    assert rows(got) == rows(compute(V.apply_corrections(fields, fixes), items))
+    by_id = {r["document_id"]: r for r in got.collect()}
+    assert (by_id[3]["po_number"], by_id[7]["po_number"], by_id[4]["po_number"], by_id[4]["overall_confidence"], len(by_id)) == ("new", "read", "Q", 1.0, 40)
+    assert [(r["n_documents"], r["n_buckets"] <= 3) for r in MT.touched(spark, folder).orderBy("batch").collect()] == [(2, True), (2, True), (1, True)]
+    assert [r["document_id"] for r in MT.rejected(spark, folder).collect()] == [99]
+
+
+def in_event_time(spark, tmp_path, name, parts, **limits):
+    """Run parts one after the other under one checkpoint; the last row moves the watermark past all others."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    end = [(-1, 10**6, 10 * 86_400, "pending")]
+    for part in (*parts, end):
+        events(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}-in"))
+        stream = spark.readStream.schema(events(spark).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"{name}-in"))
+        table, _ = ST.run_available(ST.track_jobs_in_event_time(stream, **limits), name, folder=str(tmp_path / f"{name}-out"))
+    return ST.read_back(spark, table)
+
+
+def test_event_time_tracker_is_the_same_in_every_replay(spark, tmp_path):
+    """A job with a third of all events and many buckets, in two orders; the timeouts are those of the batch operator."""
+    import random
+
+    rnd = random.Random(4)
+    made = [(rnd.choice([1, 1, 2, 3]), seq, rnd.randrange(30_000), rnd.choice(["pending", "processing", "complete"])) for seq in range(240)]
+    by_time = sorted(made, key=lambda r: r[2])
+    runs = [[by_time[:80], by_time[80:160], by_time[160:]], [sorted(made[i::2]) for i in range(2)]]
+    got = [in_event_time(spark, tmp_path, f"e{i}", parts, late="10 hours") for i, parts in enumerate(runs)]
+    assert rows(got[0]) == rows(got[1])
+    late = J.job_timeouts(events(spark, made), "2024-02-01 00:00:00").select("job_id", "seq", "status", "error_message")
+    assert rows(got[0].filter("error_message is not null")) == rows(late.select(got[0].columns)) and late.count() > 3
+    assert rows(got[0].filter("error_message is null").select("job_id", "seq", "status")) == rows(events(spark, made).select("job_id", "seq", "status"))
+
+
+def test_event_time_tracker_forgets_old_jobs(spark, tmp_path):
+    """A job is forgotten 24 hours after its last event; one that never ends is reported once before that."""
+    day = 86_400
+    parts = [[(1, 1, 0, "processing"), (2, 2, 5, "complete")], [(3, 3, 2 * day, "pending")], [(1, 4, 3 * day, "complete"), (2, 5, 6, "pending")]]
+    got = in_event_time(spark, tmp_path, "x", parts)
+    assert sorted((r["job_id"], r["seq"], r["status"]) for r in got.collect()) == [
+        (1, 1, "failed"), (1, 1, "processing"), (1, 4, "complete"), (2, 2, "complete"), (3, 3, "pending")]
+    store = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "x-out" / "checkpoint"))
+    assert 2 not in {r["key"][0] for r in store.collect()}
