@@ -47,14 +47,17 @@ _PARSED = f"""(select document_id, line_no, partkey, suppkey, price, pos, {_item
      from (select *, json_type(raw) as kind from {duck('fx_item_replies')} r) k) x)"""
 
 
-@query(f"""select document_id, line_no, partkey, suppkey, price, cast(pos as int) as pos, description, part_number, quantity, unit_price,
+LINE_ITEMS_SQL = f"""select document_id, line_no, partkey, suppkey, price, cast(pos as int) as pos, description, part_number, quantity, unit_price,
   currency, line_total, tax_rate, line_number,
   case when kind not in ('ARRAY', 'OBJECT') then 'not a list' when element <> 'OBJECT' then 'not an object'
     when coalesce(description, '') = '' then 'missing description' when quantity < 0 then 'quantity is negative'
     when unit_price < 0 then 'unit_price is negative' when line_total < 0 then 'line_total is negative'
     when tax_rate < 0 then 'tax_rate is negative' when tax_rate > 1 then 'tax_rate is above one'
     when length(currency) <> 3 then 'currency is not three characters' end as reject_reason
-  from {_PARSED} p""")
+  from {_PARSED} p"""
+
+
+@query(LINE_ITEMS_SQL)
 def line_items_parse(spark, d):
     return A.parse_line_items(view(spark, d, "fx_item_replies")).drop("unit", "notes", "unread_numbers")
 
