@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import analysis as Y, assemble as A
-from ledgerlens.plans.record_queries import JOBS, flags, line_items_parse, po_items, LINE_ITEMS_SQL
+from ledgerlens.operators import analysis as Y
+from ledgerlens.plans.record_queries import BODIES, JOBS, LINE_ITEMS_SQL, flags, line_items_parse, po_items, records
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.rule_queries import ALL_FLAGS_SQL, ITEMS, PO
 from ledgerlens.session import work_dir
+from ledgerlens.sinks import exports as E
+from ledgerlens.sources import folders as FO
 from ledgerlens.sources.views import duck, table, view
 from ledgerlens.streaming import streams as ST
 
@@ -218,3 +220,72 @@ def result_asof(spark, d):
     seen = Y.as_of(exports, fixed, key).drop("valid_from", "valid_to")
     seen = Y.as_of(seen, decided, key)
     return seen.select("document_id", "seq", "corrected_value", F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+# --- folders -------------------------------------------------------------------------------------------------------------
+
+def _mail_folder(spark, d) -> str:
+    """Every conversation as a message file: one turn a part."""
+    turns = table(spark, d, "conversations").filter("conv_id is not null").select(
+        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    part = F.concat(F.lit("--cut\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\nContent-Disposition: attachment; filename=\"part"),
+                    F.col("turn").cast("string"), F.lit(".pdf\"\r\n\r\n"), F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "")
+    mails = turns.groupBy("conv_id").agg(F.min("role").alias("role"), listed.alias("parts"))
+    head = F.concat(F.lit("From: "), "role", F.lit("@example.com\r\nSubject: Order "), F.col("conv_id").cast("string"),
+                    F.lit("\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=cut\r\n\r\n"))
+    named = mails.select(F.concat(F.pmod("conv_id", F.lit(10)).cast("string"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".eml")).alias("name"),
+                         F.concat(head, "parts", F.lit("--cut--\r\n")).alias("body"))
+    folder = f"{work_dir(spark)}/mail-{uuid.uuid4().hex}"
+    FO.register(spark)
+    named.write.format("named_files").mode("append").save(folder)
+    return folder
+
+
+_PARTS = """(select conv_id, cast(row_number() over (partition by conv_id order by turn, role, text) - 1 as int) as part_no, min(role) over (partition by conv_id) || '@example.com' as sender,
+  'Order ' || conv_id as subject, 'attachment' as disposition, 'part' || turn || '.pdf' as filename, 'application/pdf' as mime_type,
+  octet_length(encode(coalesce(text, ''))) as size_bytes from conversations where conv_id is not null)"""
+
+
+def _shown(parts):
+    conv = F.regexp_extract("name", r"(\d+)\.eml$", 1).cast("long").alias("conv_id")
+    return parts.select(conv, "part_no", "sender", "subject", "disposition", "filename", "mime_type", "size_bytes")
+
+
+@query(f"select * from {_PARTS} p")
+def message_folder(spark, d):
+    """Parts of all messages of a folder."""
+    return _shown(spark.read.format("message_folder").load(_mail_folder(spark, d)))
+
+
+@query(f"select * from {_PARTS} p where conv_id % 10 = 3")
+def message_folder_prefix(spark, d):
+    """Only the files of one subfolder are opened."""
+    return _shown(spark.read.format("message_folder").load(_mail_folder(spark, d)).filter(F.col("name").startswith("3/")))
+
+
+@query(f"select * from {_PARTS} p")
+def stream_message_folder(spark, d):
+    """The same folder as a stream, read in two runs of one checkpoint."""
+    folder, out = _mail_folder(spark, d), f"{work_dir(spark)}/mail-out-{uuid.uuid4().hex}"
+    for _ in range(2):
+        stream = _shown(spark.readStream.format("message_folder").load(folder))
+        made, _ = ST.run_available(stream, "mail", folder=out)
+    return ST.read_back(spark, made)
+
+
+@query(f"""select 'po_' || coalesce(nullif(po_number, ''), substring(cast(document_id as varchar), 1, 8)) || '.json' as file, document_id, body
+  from {BODIES} b join (select document_id, po_number from {PO} p) p using (document_id)
+  where document_id in (select document_id from {duck('fx_approvals')} a where status = 'approved')""")
+def export_files(spark, d):
+    """Approved records as one file each, below a folder for each result, read back."""
+    po = records(spark, d)
+    approved = view(spark, d, "fx_approvals").filter("status = 'approved'").select("document_id")
+    bodies = E.export_json(po, po_items(spark, d)).join(po.select("document_id", "po_number"), "document_id").join(approved, "document_id", "left_semi")
+    named = bodies.select(F.concat(F.col("document_id").cast("string"), F.lit("/"), E.export_name(F.col("po_number"), F.col("document_id"), "json")).alias("name"), "body")
+    folder = f"{work_dir(spark)}/export-{uuid.uuid4().hex}"
+    FO.register(spark)
+    named.write.format("named_files").mode("append").save(folder)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
+    place = F.regexp_extract("path", r"([^/]+)/([^/]+)$", 1).cast("long").alias("document_id")
+    return back.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), place, F.decode("content", "UTF-8").alias("body"))
