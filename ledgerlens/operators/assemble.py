@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlens.constants import BUYER, LINE_ITEM, TOP_LEVEL, TOTALS, VENDOR
 from ledgerlens.functions import numbers as N, text as T
-from ledgerlens.operators.frames import col_or_null
+from ledgerlens.operators.frames import col_or_null, spread
 from ledgerlens.operators.replies import _kind
 
 ITEM_SCHEMA = (
@@ -36,7 +36,8 @@ def parse_line_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     ``pos`` -1. Other columns of ``raw`` are kept.
     """
     keys = [c for c in raw.columns if c != column]
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(column))).withColumn("_kind", _kind(F.col("_v")))
+    # parsing costs far more than the bytes tell
+    parsed = spread(raw, *[c for c in ("document_id", column) if c in raw.columns]).withColumn("_v", F.try_parse_json(F.col(column))).withColumn("_kind", _kind(F.col("_v")))
     elements = (
         F.when(F.col("_kind") == "array", F.from_json(column, "array<variant>"))
         .when(F.col("_kind") == "object", F.array("_v"))

@@ -48,7 +48,7 @@ CLEANED = f"""(select document_id, raw_response,
 
 @query(f"select document_id, reply_json, reply_status from {CLEANED} c")
 def reply_json(spark, d):
-    return R.clean_replies(view(spark, d, "fx_replies")).drop("raw_response")
+    return R.clean_replies(view(spark, d, "fx_replies")).drop("raw_response", "reply_map")
 
 
 @query(f"select reply_status, count(*) as n, sum(length(reply_json)) as n_chars from {CLEANED} c group by reply_status")
