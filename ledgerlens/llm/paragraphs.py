@@ -13,11 +13,12 @@ A passage may also repeat inside longer lines or across line breaks. ``repeated_
 
 1. Each window of ``RUN_WORDS`` words chooses its group of ``GRAM`` words with the least hash. Equal windows choose
    alike, so only the chosen groups (one for about 13 words) are rows, each with a digest of the words of all windows
-   that chose it: a stretch.
+   that chose it: a stretch. Groups are counted first, and stretches whose group stands nowhere else go at once.
 2. Stretches that are equal as a whole are repeats of the first of them.
 3. Where stretches agree in the chosen group only, the windows of the first of each kind are compared by digests.
 
-No such run is missed and none is found that does not repeat, up to collisions of 128-bit digests. A window that
+No such run is missed and none is found that does not repeat, up to collisions of digests (64 bits of the group and 64 of the stretch together, 128 for
+windows and lines). A window that
 overlaps its own first place (a text that repeats one word) stays. ``remove_repeats`` removes repeated units and passages; each removed word stands
 in an equal unit or passage at an earlier place.
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.common import stored, table
+from ledgerlens.llm.common import discard, stored, table
 from ledgerlens.plans.registry import Query
 
 LEAST_WORDS = 5
@@ -124,7 +125,7 @@ def _batch(b: pa.RecordBatch, rows: list[tuple], names: list[str], types: list[p
 
 
 def _stretches(run_words: int, gram: int):
-    names, types = ["gram", "digest", "at", "n", "start", "end"], [pa.int64(), pa.binary(), *[pa.int32()] * 4]
+    names, types = ["gram", "digest", "at", "n", "start", "end"], [pa.int64(), pa.int64(), *[pa.int32()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +140,7 @@ def _stretches(run_words: int, gram: int):
                 cuts = np.flatnonzero(np.diff(chosen)) + 1
                 for at, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chosen)], strict=True):
                     last = stop + run_words - 1
-                    rows.append((i, g[chosen[at]].view(np.int64), _digest(words[at:last]), at, stop - at, starts[at], ends[last - 1]))
+                    rows.append((i, g[chosen[at]].view(np.int64), int.from_bytes(_digest(words[at:last])[:8], "little", signed=True), at, stop - at, starts[at], ends[last - 1]))
                     if len(rows) >= BATCH_ROWS:
                         yield _batch(b, rows, names, types)
                         rows = []
@@ -193,26 +194,33 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     apart = ~same_text | (F.col("at") >= F.col("first.at") + run_words)
 
     stretches = stored(docs.mapInArrow(
-        _stretches(run_words, gram), f"doc_id {kind}, version bigint, gram bigint, digest binary, at int, n int, start int, end int"), "stretches")
-    kinds = stored(stretches.groupBy("gram", "digest").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k")), "kinds")
-    equal = stretches.join(kinds.where("k > 1").select("gram", "digest", "first"), ["gram", "digest"])
+        _stretches(run_words, gram), f"doc_id {kind}, version bigint, gram bigint, digest bigint, at int, n int, start int, end int"), "stretches")
+    # two numbers for each group; what stands once is never sorted or joined again
+    digests = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    several = digests.where("k > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+    shared = stored(stretches.join(several, "gram"), "shared")
+    discard(stretches)
+    kinds = stored(shared.groupBy("gram", "digest", "mixed").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k")), "kinds")
+    equal = shared.join(kinds.where("k > 1").select("gram", "digest", "first"), ["gram", "digest"])
     whole = equal.where(apart).select("doc_id", "version", "start", "end")
 
     # the first of each kind, where kinds share a group of words; and what overlaps its own first
-    several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
     near = equal.where(~apart & (F.col("at") != F.col("first.at")))
-    wanted = kinds.join(several, "gram").select("first.*", "n").union(near.select("doc_id", "version", "at", "n")).union(near.select("first.*", "n"))
+    wanted = kinds.where("mixed").select("first.*", "n").union(near.select("doc_id", "version", "at", "n")).union(near.select("first.*", "n"))
     wanted = wanted.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n")).alias("wanted"))
     windows = stored(docs.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted").mapInArrow(
         _windows(run_words), f"doc_id {kind}, version bigint, digest binary, at int, start int, end int"), "windows")
     firsts = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return whole.union(windows.join(firsts, "digest").where(apart).select("doc_id", "version", "start", "end"))
+    found = stored(whole.union(windows.join(firsts, "digest").where(apart).select("doc_id", "version", "start", "end")), "passages")
+    for table_ in (shared, kinds, windows):
+        discard(table_)
+    return found
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, least_words: int = LEAST_WORDS,
                    run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, version and the spans of repeated units and passages together, for documents that lose something."""
-    units = repeated_units(docs, doc_id, text, separator, least_words).select("doc_id", "version", "start", "end")
+    units = stored(repeated_units(docs, doc_id, text, separator, least_words).select("doc_id", "version", "start", "end"), "repeats")
     found = units.union(repeated_passages(docs, doc_id, text, run_words, (run_words + 1) // 2))
     found = found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return found.mapInArrow(_merged, found.schema)
