@@ -197,9 +197,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         _stretches(run_words, gram), f"doc_id {kind}, version bigint, gram bigint, digest bigint, at int, n int, start int, end int"), "stretches")
     # two numbers for each group; what stands once is never sorted or joined again
     digests = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    several = digests.where("k > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+    # written, so that the join can split a group that very many stretches share
+    several = stored(digests.where("k > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")), "grams")
     shared = stored(stretches.join(several, "gram"), "shared")
-    discard(stretches)
+    for table_ in (stretches, several):
+        discard(table_)
     kinds = stored(shared.groupBy("gram", "digest", "mixed").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k")), "kinds")
     equal = shared.join(kinds.where("k > 1").select("gram", "digest", "first"), ["gram", "digest"])
     whole = equal.where(apart).select("doc_id", "version", "start", "end")
