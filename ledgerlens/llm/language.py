@@ -7,8 +7,9 @@ best codewords lie close together is flagged ambiguous.
 
 Training is one pass of counting: n-grams are hashed to ``2 ** width_bits`` cells, each task adds its
 texts up for each language, and the sums give every classifier in closed form (log odds of a cell
-between the two sides of a bit, all languages weighing the same). All labelled rows count; the model is
-languages x cells in size whatever the input, and at most ``MAX_LANGUAGES`` languages are learned.
+between the two sides of a bit, all languages weighing the same). All labelled rows and all languages count. Cells are
+fitted where their counts lie, each cell in one task; the model is cells x bits and languages x bits in size, and the
+bits grow with the logarithm of the number of languages.
 
 In training a text weighs by its length.
 
@@ -27,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ledgerlens.llm.common import stored, table
+from ledgerlens.llm.common import discard, stored, table
 from ledgerlens.plans.registry import Query
 
 WIDTH_BITS, ORDERS = 15, (1, 2, 3)
-#: A model with more languages is refused: it must fit a task.
-MAX_LANGUAGES = 1000
+#: Languages whose counts a training task holds at once, a quarter of a megabyte each; more are handed on in parts.
+HELD = 256
 #: Smoothing of a cell, as counts for a text of average length; and the loss gap below which a text is ambiguous.
 SMOOTHING, AMBIGUOUS = 0.5, 0.02
 UNKNOWN = "und"
@@ -50,7 +51,7 @@ def codewords(languages: int) -> np.ndarray:
         splits = [(0, *rest) for n in range(languages - 1) for rest in combinations(range(1, languages), n)]
         return np.array([[int(i in s) for s in splits] for i in range(languages)], np.int8)
     bits = 4 * int(np.ceil(np.log2(languages))) + 7
-    draws = [np.random.default_rng(seed).permuted(np.tile(np.arange(languages)[:, None] % 2, bits), axis=0) for seed in range(64)]
+    draws = [np.random.default_rng(seed).permuted(np.tile(np.arange(languages)[:, None] % 2, bits), axis=0) for seed in range(64 if languages <= 100 else 1)]
     apart = [min(int((a[i] != a[j]).sum()) for i, j in combinations(range(languages), 2)) if languages <= 100 else 0 for a in draws]
     return draws[int(np.argmax(apart))].astype(np.int8)
 
@@ -59,21 +60,27 @@ def cells(text: bytes, width_bits: int = WIDTH_BITS) -> np.ndarray:
     """Hashed counts of the byte n-grams of lower-cased text; runs of other than letters are one space."""
     total = np.zeros(1 << width_bits, np.int64)
     shift = np.uint64(64 - width_bits)
+    before = np.array([32], np.uint64)  # the last bytes of earlier pieces; a text begins and ends with a space
     for at in range(0, len(text), PIECE):
-        raw = np.frombuffer(text[at:at + PIECE + max(ORDERS) - 1], np.uint8)
+        raw = np.frombuffer(text[at:at + PIECE], np.uint8)
         letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
         b = np.where(letter, raw, 32).astype(np.uint64)
-        b = np.concatenate([[np.uint64(32)], b, [np.uint64(32)]])
-        b = b[np.concatenate([[True], (b[1:] != 32) | (b[:-1] != 32)])]
+        if at + PIECE >= len(text):
+            b = np.append(b, np.uint64(32))
+        b = b[(b != 32) | (np.concatenate([before[-1:], b[:-1]]) != 32)]
+        b = np.concatenate([before, b])
         for n in ORDERS:
-            if len(b) < n:
+            # n-grams that end behind the bytes of earlier pieces
+            first = max(0, len(before) - n + 1)
+            if len(b) - first < n:
                 continue
-            gram = np.full(len(b) - n + 1, n, np.uint64)
+            gram = np.full(len(b) - n + 1 - first, n, np.uint64)
             for k in range(n):
-                gram = gram << np.uint64(8) | b[k:len(b) - n + 1 + k]
+                gram = gram << np.uint64(8) | b[first + k:len(b) - n + 1 + k]
             if n == 1:
-                gram = gram[b != 32]
+                gram = gram[b[first:] != 32]
             total += np.bincount(((gram * _SPREAD) >> shift).astype(np.int64), minlength=1 << width_bits)
+        before = b[1 - max(ORDERS):]
     return total
 
 
@@ -81,6 +88,14 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _count(width_bits: int):
+    def rows(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, got in sums.items():
+            at = np.flatnonzero(got)
+            for lo in range(0, len(at), 10_000):
+                some = at[lo:lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(got[some])], ["lang", "cell", "n"])
+        sums.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -89,33 +104,75 @@ def _count(width_bits: int):
                 if lang in sums:
                     sums[lang] += got
                 else:
+                    if len(sums) == HELD:
+                        yield from rows(sums)
                     sums[lang] = got
-        for lang, got in sums.items():
-            at = np.flatnonzero(got)
-            for lo in range(0, len(at), 10_000):
-                some = at[lo:lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(got[some])], ["lang", "cell", "n"])
+        yield from rows(sums)
     return run
 
 
+def _weigh(known):
+    """Weights of the bits for every cell of a partition, whose rows (cell, lang, n) come sorted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = known.value
+        row, code, total = m["row"], m["code"], m["total"]
+        ones, least = code.sum(0), _share(0, total)
+        base = least @ code, least @ (1 - code)
+
+        def done(cell, more):
+            sides = [np.log((b + x) / n) for b, x, n in zip(base, more, (ones, len(code) - ones), strict=True)]
+            return cell, (sides[0] - sides[1]).tolist()
+
+        cell, more, out = None, None, []
+        for b in batches:
+            for c, lang, n in zip(*(b.column(x).to_pylist() for x in ("cell", "lang", "n")), strict=True):
+                if c != cell:
+                    if cell is not None:
+                        out.append(done(cell, more))
+                    cell, more = c, np.zeros((2, code.shape[1]))
+                at = row[lang]
+                extra = _share(n, total[at]) - least[at]
+                more[0] += extra * code[at]
+                more[1] += extra * (1 - code[at])
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out])], ["cell", "weights"])
+                out = []
+        if cell is not None:
+            out.append(done(cell, more))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out])], ["cell", "weights"])
+    return run
+
+
+def _share(n, total):
+    """Share of a cell with count ``n`` among the ``total`` n-grams of a language, smoothed."""
+    return (n + SMOOTHING * 1e-6 * total + 1e-9) / (total + 1e-9)
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", width_bits: int = WIDTH_BITS) -> dict:
-    """Model from all rows with a text and a language; plain arrays, small enough for every task."""
+    """Model from all rows with a text and a language; plain arrays, small enough for every task.
+
+    The driver sees one row for each language and one of bits for each cell; counts stay where they are.
+    """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     sums = rows.mapInArrow(_count(width_bits), "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     sums = stored(sums, "ngrams")
-    names = sorted(r["lang"] for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((len(names), 1 << width_bits))
-    got = sums.toPandas()  # languages x cells at most
-    counts[[names.index(x) for x in got["lang"]], got["cell"].to_numpy()] = got["n"].to_numpy()
+    totals = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    names = sorted(totals)
     code = codewords(len(names))
-    if len(names) < 2:
-        return {"names": names, "code": code, "weights": np.zeros((1 << width_bits, code.shape[1]), np.float32), "width_bits": width_bits}
-    share = (counts + SMOOTHING * 1e-6 * counts.sum(1, keepdims=True) + 1e-9) / (counts.sum(1, keepdims=True) + 1e-9)
-    side = lambda ones: np.log(share[ones].mean(0))
-    weights = np.stack([side(code[:, j] == 1) - side(code[:, j] == 0) for j in range(code.shape[1])], 1)
-    return {"names": names, "code": code, "weights": weights.astype(np.float32), "width_bits": width_bits}
+    weights = np.zeros((1 << width_bits, code.shape[1]))
+    model = {"names": names, "code": code, "weights": weights.astype(np.float32), "width_bits": width_bits}
+    if len(names) >= 2:
+        total = np.array([totals[x] for x in names], np.float64)
+        known = labelled.sparkSession.sparkContext.broadcast({"row": {x: i for i, x in enumerate(names)}, "code": code.astype(np.float64), "total": total})
+        by_cell = sums.repartition("cell").sortWithinPartitions("cell", "lang")
+        # a cell that no language has weighs by the smoothing alone
+        ones, least = code.sum(0), _share(0, total)
+        weights[:] = np.log(least @ code / ones) - np.log(least @ (1 - code) / (len(names) - ones))
+        for r in by_cell.mapInArrow(_weigh(known), "cell int, weights array<double>").toLocalIterator():
+            weights[r["cell"]] = r["weights"]
+        model["weights"] = weights.astype(np.float32)
+    discard(sums)
+    return model
 
 
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -122,6 +122,56 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def brute_cells(text: bytes) -> dict:
+    """Hashed n-gram counts of a whole text, one n-gram at a time."""
+    flat = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text)
+    flat = b" " + b" ".join(x for x in flat.split(b" ") if x) + b" "
+    got = {}
+    for n in language.ORDERS if text else ():
+        for i in range(len(flat) - n + 1):
+            gram = flat[i:i + n]
+            if gram.strip():
+                h = int.from_bytes(n.to_bytes(8, "big") + gram, "big") % 2**64 * int(language._SPREAD) % 2**64 >> (64 - language.WIDTH_BITS)
+                got[h] = got.get(h, 0) + 1
+    return got
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_cells_do_not_depend_on_pieces(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    for text in (b"", b" ", b"a", b"ab", b"12 abc  d..e 9", b"  the house,and -- the garden ", "straße über naïve".encode()):
+        got = language.cells(text)
+        assert {int(i): int(got[i]) for i in got.nonzero()[0]} == brute_cells(text)
+
+
+def test_weights_against_brute(spark, monkeypatch):
+    """Classifiers fitted cell by cell equal those of one table of all counts; few languages are held at a time."""
+    import numpy as np
+
+    monkeypatch.setattr(language, "HELD", 3)
+    texts = [(f"l{k:02}", " ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}" for j in range(5 + k % 4))) for k in range(30)] * 2
+    model = language.train(spark.createDataFrame(texts, "lang string, text string").repartition(4))
+    names = sorted({lang for lang, _ in texts})
+    counts = np.zeros((len(names), 1 << language.WIDTH_BITS))
+    for lang, text in texts:
+        for cell, n in brute_cells(text.encode()).items():
+            counts[names.index(lang), cell] += n
+    total = counts.sum(1, keepdims=True)
+    share = (counts + language.SMOOTHING * 1e-6 * total + 1e-9) / (total + 1e-9)
+    code = language.codewords(len(names))
+    want = np.stack([np.log(share[code[:, j] == 1].mean(0)) - np.log(share[code[:, j] == 0].mean(0)) for j in range(code.shape[1])], 1)
+    assert model["names"] == names and np.allclose(model["weights"], want, atol=1e-4)
+
+
+def test_more_than_a_thousand_languages(spark):
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    docs = spark.createDataFrame([(f"l{k:04}", f"{name(k)} {name(7 * k + 3)}") for k in range(1_100)], "lang string, text string")
+    model = language.train(docs)
+    assert len(model["names"]) == 1_100 and len({tuple(r) for r in model["code"].tolist()}) == 1_100
+    got = language.identify(docs, model).collect()
+    assert len(got) == 1_100 and sum(r.lang == r.lang_pred for r in got) >= 550
+
+
 def test_codewords_are_distinct_and_apart():
     for n in (2, 3, 4, 6, 9, 40):
         code = language.codewords(n)
