@@ -186,7 +186,9 @@ def write_archive(pages: DataFrame, base: str | None = None, page_id: str = "pag
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= least)
     responses = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    planned = rows.join(responses, "digest", "left").withColumn("key", url_key(F.col("url")))
+    # smaller payloads meet no response; keys of their own keep the many empty ones out of one task
+    meets = F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))
+    planned = rows.withColumn("meets", meets).join(responses.withColumnRenamed("digest", "meets"), "meets", "left").withColumn("key", url_key(F.col("url")))
     captures = stored(planned.select("key", "page_id", "url", "payload", "digest", "response").mapInArrow(_write(f"{base}/warc"), CAPTURE), "captures")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["key", "page_id", "file", "offset"]
@@ -195,16 +197,29 @@ def write_archive(pages: DataFrame, base: str | None = None, page_id: str = "pag
     return Archive(base, files)
 
 
+#: Captures that a search holds before it hands them on.
+FOUND = 10_000
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Captures of (index, key) rows, which come sorted: directory, binary search, block reads."""
+    """Captures of (index, key) rows, which come sorted: directory, binary search, block reads.
+
+    A key with any number of captures is read block by block; a block and ``FOUND`` captures are held.
+    """
     index = handle = firsts = directory = None
-    block: tuple[int, list] = (-1, [])
+    block: tuple[int, list, list] = (-1, [], [])
+    rows: list = []
+
+    def found() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CAPTURE_TYPES, strict=True)], _CAPTURE_NAMES)
+        rows.clear()
+        return out
+
     for b in batches:
-        rows = []
         for name, key in zip(b.column("index").to_pylist(), b.column("key").to_pylist(), strict=True):
             if name != index:
                 system, path = _open(name)
-                handle, index, block = system.open_input_file(path), name, (-1, [])
+                handle, index, block = system.open_input_file(path), name, (-1, [], [])
                 size = handle.size()
                 n = int.from_bytes(handle.read_at(_TAIL_BYTES, size - _TAIL_BYTES), "little")
                 directory = json.loads(gzip.decompress(handle.read_at(n, size - _TAIL_BYTES - n)))
@@ -213,12 +228,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
                 if block[0] != i:
                     lines = gzip.decompress(handle.read_at(directory[i][2], directory[i][1])).decode().splitlines()
-                    found = [json.loads(x) for x in lines]
-                    block = (i, found, [f[0] for f in found])
-                lo, hi = bisect_left(block[2], key), bisect_right(block[2], key)
-                rows.extend(block[1][lo:hi])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CAPTURE_TYPES, strict=True)], _CAPTURE_NAMES)
+                    captures = [json.loads(x) for x in lines]
+                    block = (i, captures, [c[0] for c in captures])
+                rows.extend(block[1][bisect_left(block[2], key):bisect_right(block[2], key)])
+                if len(rows) >= FOUND:
+                    yield found()
+    if rows:
+        yield found()
 
 
 def lookup(archive: Archive, keys: DataFrame, key: str = "key") -> DataFrame:
