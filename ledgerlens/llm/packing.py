@@ -5,7 +5,8 @@ histogram of piece lengths, repeat counts of all patterns are fitted so that the
 come as near to the histogram as they can; the counts are rounded down to what the histogram
 holds, and the residual pieces are packed best-fit decreasing, also by counts. All of that works
 on the histogram, whose size is the capacity, not the corpus. Then every piece gets its rank among
-the pieces of its length, and a rank names one slot of one sequence of the plan.
+the pieces of its length, and a rank names one slot of one sequence of the plan. Full pieces are sequences of their
+own, with negative numbers, and are not ranked or shuffled.
 
 Lengths only decide; which piece of a length takes which slot follows a digest of the document.
 
@@ -36,7 +37,8 @@ PARTS, STEPS = 3, 400
 #: Chunks whose ids a Python worker keeps, about 200 bytes each. The first ones met are the frequent ones; others are
 #: encoded each time they come.
 KNOWN = 800_000
-RANK_BUCKETS = 64
+#: Pieces of a length that one window ranks, about; a length has as many windows as its count asks for.
+RANKED = 4096
 
 # Chunks of text that the tokenizer's own first cut never crosses: anything up to and with a run of
 # letters, where an ASCII character that is no letter follows. Letters here are those of ASCII and the two
@@ -260,13 +262,17 @@ def pack(cut_docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in counts:
         histogram[r["length"]] = r["count"]
     slots = cut_docs.sparkSession.sparkContext.broadcast(_slots(plan(histogram, capacity)))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS))
-    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "piece", "ids_crc32")]
-    ranked = numbered(cut_docs, ["length"], order, bucket, "_rank_in")
     kept = cut_docs.columns
+    # a full piece is a sequence of its own: it needs a number that no other has, and no rank
+    number = (F.lit(-1) - F.monotonically_increasing_id()).cast("long")
+    full = cut_docs.where(F.col("length") == capacity).select(*kept, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    buckets = F.element_at(F.lit([int(-(-n // RANKED)) or 1 for n in histogram]), F.col("length").cast("int") + 1)
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets)
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "piece", "ids_crc32")]
+    ranked = numbered(cut_docs.where(F.col("length") < capacity), ["length"], order, bucket, "_rank_in")
     ranked = ranked.select(*kept, F.col("_rank_in").cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_docs.schema)
-    return ranked.mapInArrow(_place(slots), f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(_place(slots), f"{schema}, sequence_id bigint, offset bigint").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, file: str | None = None) -> DataFrame:

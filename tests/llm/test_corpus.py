@@ -171,6 +171,17 @@ def test_archive_round_trip(spark, monkeypatch):
     assert empty.files.count() == 0 and captures.lookup(empty, every.select("key")).count() == 0
 
 
+def test_key_with_many_captures(spark, monkeypatch):
+    """Captures of one key, and small payloads without a match, in more than one part."""
+    monkeypatch.setattr(captures, "BLOCK_LINES", 4)
+    monkeypatch.setattr(captures, "FOUND", 5)
+    pages = spark.createDataFrame([(i, None, None) for i in range(60)] + [(None, None, None)] * 2, "page_id long, url string, html string")
+    archive = captures.write_archive(pages)
+    found = captures.lookup(archive, pages.select(captures.url_key(pages["url"]).alias("key")))
+    assert sorted(r.page_id for r in found.collect() if r.page_id is not None) == list(range(60)) and found.count() == 62
+    assert {r.record_type for r in captures.fetch(found).collect()} == {"response"}
+
+
 # ---- packing
 
 def tokenizer():
@@ -246,6 +257,15 @@ def test_packing_edges(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_full_pieces_and_windows_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 2)
+    rows = [(i, "word " * (1 + i % 3)) for i in range(90)] + [(100 + i, "word " * 3_000) for i in range(9)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sound(got)
+    full = [r for r in got if r.length == packing.CAPACITY]
+    assert len(full) >= 9 and len({r.sequence_id for r in full}) == len(full) and all(r.sequence_id < 0 and r.offset == 0 for r in full)
+
+
 # ---- shards
 
 def test_shards_against_brute(spark, sf_dir):
