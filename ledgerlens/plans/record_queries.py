@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerlens.constants import ALLOWED_MIME_TYPES
-from ledgerlens.operators import assemble as A, jobs as J, review as V, rules as R
+from ledgerlens.constants import ALLOWED_MIME_TYPES, ALWAYS_ESCALATE
+from ledgerlens.operators import assemble as A, flow as W, jobs as J, review as V, rules as R
 from ledgerlens.plans.registry import query
-from ledgerlens.plans.reply_queries import MERGED, merged
+from ledgerlens.plans.reply_queries import DISAGREES, FALLBACK, MERGED, both_passes, fields_sql, merged
 from ledgerlens.plans.rule_queries import ALL_FLAGS_SQL, ITEMS, PO
 from ledgerlens.session import work_dir
 from ledgerlens.sinks import exports as E
@@ -189,6 +189,26 @@ def result_rows(fields, items):
                       F.array_join(F.array_sort(F.transform("flags", lambda f: f["rule"])), ",").alias("rules"), human.alias("n_human"))
 
 
+_ALWAYS = ", ".join(f"'{p}'" for p in ("", *ALWAYS_ESCALATE))
+_EXTRACTED = f"""(select document_id, field_path, case when f.confidence is not null then f.value else p.value end as value,
+  coalesce(f.confidence, p.confidence) as confidence, coalesce(f.source_model, 'local') as source_model,
+  coalesce({DISAGREES}, false) or case when f.confidence is not null then f.confidence < 0.75 else p.missing or p.confidence < 0.75 end as flagged
+  from {fields_sql()} p left join (select * from {FALLBACK} f semi join (select document_id, field_path from {fields_sql()} p
+    where confidence < 0.75 or field_path in ({_ALWAYS})) a using (document_id, field_path)) f using (document_id, field_path))"""
+EXTRACTED_RESULTS = REVIEWED_RESULTS.replace(REVIEWED, _EXTRACTED).replace("'human'", "'groq'").replace("n_human", "n_second")
+
+
+@query(f"""select r.*, '[' || coalesce(items, '') || ']' as line_items from ({EXTRACTED_RESULTS}) r
+  left join (select document_id, string_agg({_ITEM_JSON}, ',' order by pos) items from {ITEMS} i group by document_id) i using (document_id)""")
+def extracted_results(spark, d):
+    """The whole way: raw replies to fields, second pass, record, the flags of that record, result."""
+    _, out = W.extract(view(spark, d, "fx_replies"), view(spark, d, "fx_po_text"), both_passes(spark, d)[1], po_items(spark, d), AS_OF)
+    second = F.size(F.filter(F.map_values("fields"), lambda f: f["source"] == "groq")).cast("long")
+    return out.select("document_id", "po_number", F.col("vendor.name").alias("vendor_name"), "overall_confidence",
+                      F.array_join("fields_flagged", ",").alias("fields_flagged"), "errors", "warnings",
+                      F.array_join(F.array_sort(F.transform("flags", lambda f: f["rule"])), ",").alias("rules"), second.alias("n_second"), "line_items")
+
+
 @query(REVIEWED_RESULTS)
 def reviewed_results(spark, d):
     """Fields after review to records, their own flags and results, in one flow."""
@@ -286,6 +306,30 @@ def export_json(spark, d):
     return E.export_json(records(spark, d), po_items(spark, d))
 
 
+_META = f"""(select document_id, '{{"result_id":"r' || document_id || '","document_id":"' || document_id || '","overall_confidence":'
+    || {num("round(coalesce(min(case when value is not null then confidence end), 0::double), 3)")} || ',"primary_model":"local","fallback_triggered":'
+    || bool_or(source_model = 'groq') || ',"exported_at":"{AS_OF}"'
+    || coalesce(',"field_confidence":{{' || string_agg('"' || field_path || '":{{"value":' || {js('value')} || ',"confidence":' || {num('round(confidence, 3)')}
+       || ',"source":"' || source_model || '"}}', ',' order by field_path) filter (value is not null) || '}}', '') || '}}' as meta
+  from {MERGED} m group by document_id)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""select document_id, body[:-2] || ',"_metadata":' || meta || '}}' as body from (
+    select document_id, {_PO_JSON.replace("coalesce(subtotal, shipping, grand_total)", "has_totals")} as body
+    from (select *, null::varchar vendor_country, null::varchar ship_to from {WIDE} w) r
+    join (select document_id, case when bool_or(value is not null) filter (field_path like 'totals.%') then true end has_totals
+      from {MERGED} m group by document_id) t using (document_id)
+    left join (select document_id, string_agg({_ITEM_JSON}, ',' order by pos) items from {ITEMS} i group by document_id) i using (document_id)) b
+  join {_META} m using (document_id)""")
+def export_json_metadata(spark, d):
+    """Extracted records with the block that says where every value comes from; totals that were given but not read are ``{}``."""
+    fields = merged(spark, d)
+    ran = fields.groupBy("document_id").agg(F.bool_or(F.col("source_model") == "groq").alias("fallback_triggered"))
+    known = A.overall_confidence(fields).join(ran, "document_id").withColumns(
+        {"result_id": F.concat(F.lit("r"), F.col("document_id")), "primary_model": F.lit("local")})
+    return E.export_json(A.build_po(fields), po_items(spark, d), E.json_metadata(known, fields, AS_OF))
+
+
 def _txt(c: str) -> str:
     return f"coalesce({c}, '')"
 

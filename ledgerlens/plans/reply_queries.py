@@ -88,6 +88,11 @@ _FIELDS = f"""(select document_id, field_path, missing, value, value_type,
               from {CLEANED} c left join {TEXTS} t on t.document_id = c.document_id) a) b) e) f)"""
 
 
+def fields_sql() -> str:
+    """Field rows of the replies, for the checks of later steps."""
+    return _FIELDS
+
+
 @query(f"""select document_id, field_path, value, value_type, confidence, missing or confidence < 0.75 as flagged,
   case when missing then 'missing_required' when confidence < 0.75 then 'low_confidence' end as review_reason
   from {_FIELDS} f""")

@@ -94,6 +94,14 @@ ITEM_FLAGS_SQL = f"""select document_id, 'line_item.total_mismatch:' || cast(pos
 ALL_FLAGS_SQL = flags_sql(*_FLAG_SQL) + " union all " + ITEM_FLAGS_SQL
 
 
+def _placed() -> str:
+    """Every flag with its place in the order of display: the groups in turn, item flags behind the totals."""
+    rows = [f"select document_id, {10 * g + i} as place, {rule} as \"rule\" from {HEADER} h where {cond}"
+            for g, n in enumerate(_FLAG_SQL) for i, (cond, rule, _, _) in enumerate(_FLAG_SQL[n])]
+    items = 10 * list(_FLAG_SQL).index("grand_total") + 9
+    return " union all ".join([*rows, f'select document_id, {items}, "rule" from ({ITEM_FLAGS_SQL}) i'])
+
+
 def shown(flags):
     return flags.select("document_id", "rule", "severity", F.array_join("affected_fields", ",").alias("affected_fields"))
 
@@ -128,6 +136,12 @@ def rule_dates(spark, d):
     return _one(spark, d, "dates")
 
 
+@query(flags_sql("dates").replace(AS_OF_SQL, "date '1993-06-30'"))
+def rule_dates_ahead(spark, d):
+    """The date rules seen from an early day, when many orders lie far ahead."""
+    return shown(R.header_flags(view(spark, d, "fx_po"), None, "1993-06-30", ["dates"]))
+
+
 @query(flags_sql("currency"))
 def rule_currency(spark, d):
     return _one(spark, d, "currency")
@@ -149,6 +163,15 @@ def validation_flags(spark, d):
     return shown(R.validate(view(spark, d, "fx_po"), view(spark, d, "fx_items"), AS_OF))
 
 
+@query(f"""select document_id, string_agg("rule", ',' order by place, "rule") as rules, count(*) as n_worded from ({_placed()}) f group by document_id""")
+def flags_in_order(spark, d):
+    """A document's flags as a reviewer reads them: in the order of the rules, each with a message."""
+    raised = R.validate(view(spark, d, "fx_po"), view(spark, d, "fx_items"), AS_OF)
+    listed = raised.groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.struct("rule_order", "rule"))).alias("flags"), F.count_if(F.length("message") > 0).alias("n_worded"))
+    return listed.select("document_id", F.array_join(F.transform("flags", lambda f: f["rule"]), ",").alias("rules"), "n_worded")
+
+
 @query(f"""select document_id, count(*) filter (severity = 'error') errors,
   count(*) filter (severity = 'warning') warnings from ({ALL_FLAGS_SQL}) f group by document_id""")
 def severity_counts(spark, d):

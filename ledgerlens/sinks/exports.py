@@ -84,11 +84,11 @@ def _members(keys: tuple[str, ...]) -> Column:
     return F.nullif(F.substring(text, 2, F.length(text) - 2), F.lit(""))
 
 
-def json_bodies(po: DataFrame, items: DataFrame) -> DataFrame:
-    """``po`` with ``body``: the whole record as one JSON text, nulls left out."""
+def json_bodies(po: DataFrame, items: DataFrame, *more: Column) -> DataFrame:
+    """``po`` with ``body``: the whole record as one JSON text, nulls left out; ``more`` are further members at its end."""
     texts = item_texts(items, F.to_json(F.struct(*item_columns(items))), separator=",").select("document_id", "items_text")
     listed = F.concat(F.lit('"line_items":['), F.coalesce("items_text", F.lit("")), F.lit("]"))
-    body = F.concat(F.lit("{"), F.concat_ws(",", _members(BEFORE_ITEMS), listed, _members(AFTER_ITEMS)), F.lit("}"))
+    body = F.concat(F.lit("{"), F.concat_ws(",", _members(BEFORE_ITEMS), listed, _members(AFTER_ITEMS), *more), F.lit("}"))
     return po.join(texts, "document_id", "left").withColumn("body", body).drop("items_text")
 
 
@@ -97,11 +97,11 @@ def export_json(po: DataFrame, items: DataFrame, metadata: DataFrame | None = No
 
     ``metadata`` (see :func:`json_metadata`) adds a ``_metadata`` block.
     """
-    out = json_bodies(po, items)
-    if metadata is not None:
-        block = F.concat(F.regexp_replace("body", r"\}$", ""), F.lit(',"_metadata":'), F.to_json("_metadata"), F.lit("}"))
-        out = out.join(metadata, "document_id", "left").withColumn("body", F.coalesce(block, F.col("body")))
-    return out.select("document_id", "body")
+    if metadata is None:
+        return json_bodies(po, items).select("document_id", "body")
+    known = po.join(metadata.select("document_id", "_metadata"), "document_id", "left")
+    block = F.concat(F.lit('"_metadata":'), F.to_json("_metadata"))
+    return json_bodies(known, items, block).select("document_id", "body")
 
 
 def json_metadata(results: DataFrame, fields: DataFrame, exported_at) -> DataFrame:
