@@ -26,10 +26,14 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 # --- sources ---------------------------------------------------------------------------
 
 def read_table(spark: SparkSession, folder: str, pattern: str, files_per_batch: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream; each file is read once (T1), so many at a time."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option(
-        "maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """Parquet files of a folder as a stream; each file is read once (T1), so many at a time.
+
+    ``pattern`` names files, or folders whose files are read: a larger table is a folder of that name.
+    """
+    # in braces a plain name is a pattern too, which may stand for a file as well as for a folder
+    path = f"{folder.rstrip('/')}/{pattern if set(pattern) & set('*?[{') else '{' + pattern + '}'}"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def read_landing(spark: SparkSession, path: str, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:

@@ -200,3 +200,14 @@ def test_event_time_tracker_forgets_old_jobs(spark, tmp_path):
         (1, 1, "failed"), (1, 1, "processing"), (1, 4, "complete"), (2, 2, "complete"), (3, 3, "pending")]
     store = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "x-out" / "checkpoint"))
     assert 2 not in {r["key"][0] for r in store.collect()}
+
+
+def test_tables_are_files_or_folders(spark, tmp_path):
+    frame = events(spark).coalesce(1)
+    frame.write.parquet(str(tmp_path / "made"))
+    (file,) = (tmp_path / "made").glob("part-*.parquet")
+    file.rename(tmp_path / "one.parquet")
+    frame.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    for pattern in ("one.parquet", "many.parquet"):
+        table, _ = ST.run_available(ST.read_table(spark, str(tmp_path), pattern, 1), "t", folder=str(tmp_path / f"out-{pattern}"))
+        assert rows(ST.read_back(spark, table).select(frame.columns)) == rows(frame)
