@@ -45,3 +45,21 @@ def test_first_lines_limit_before_the_shuffle(spark, sf_dir):
 
     text = plan(X.first_lines(fx_lines(spark, sf_dir)))
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_words_do_not_cross_the_network(spark, sf_dir):
+    text = plan(QUERIES["text_lines"].run(spark, sf_dir))
+    assert 0 < text.index("posexplode") < text.index("Exchange")
+
+
+def test_field_rows_do_not_cross_the_network(spark, sf_dir, monkeypatch):
+    """Only headers do, before eleven rows are made of each."""
+    from ledgerlens.operators import frames
+
+    seen = []
+    monkeypatch.setattr(frames, "written", lambda df, name: seen.append(plan(df)) or df)
+    from ledgerlens.plans.reply_queries import merged
+
+    merged(spark, sf_dir)
+    (text,) = seen
+    assert "FullOuter" in text and 0 < text.index("explode(") < text.index("Exchange")
