@@ -174,11 +174,16 @@ class EventTimeTracker(StatefulProcessor):
 
     Events wait in buckets of their own time until the watermark passes the bucket's end, whatever order or batch
     they come in; then the bucket is walked in order of (time, seq). A replay therefore gives the same rows again. A
-    bucket is one entry of the state, so memory follows the events of one bucket of one job, not the job.
+    bucket is one entry of the state, and ``AT_ONCE`` of them at most are read together, so memory follows the events of few buckets of one job, not the job.
     At a bucket's end, a processing phase that is older than the limit is reported once, and a job whose
     last event is ``ttl`` old is forgotten. Events of buckets that have been walked are too late and are dropped.
+
+    Every look at the state is a round trip between Python and the JVM, so a job has one timer, for the first moment at which
+    something is due, and its few waiting buckets are read and cleared together.
     """
 
+    AT_ONCE = 64
+
     def __init__(self, timeout_seconds: int, ttl_seconds: int, bucket_seconds: int):
         self.timeout_ms, self.ttl_ms, self.bucket_ms = timeout_seconds * 1000, ttl_seconds * 1000, bucket_seconds * 1000
 
@@ -189,36 +194,52 @@ class EventTimeTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        known, first = {b[0] for b in self.waiting.keys()}, None
         for chunk in rows:
-            for bucket, part in chunk.groupby(chunk["at_ms"] // self.bucket_ms):
-                bucket = int(bucket)
+            parts: dict[int, list[tuple]] = {}
+            for event in zip(*(chunk[c].tolist() for c in ("at_ms", "seq", "status"))):
+                if not pd.isna(event[0]):
+                    parts.setdefault(int(event[0] // self.bucket_ms), []).append(event)
+            for bucket, events in parts.items():
                 end = (bucket + 1) * self.bucket_ms
                 if end <= passed:
                     continue
-                held = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else ([], [], [])
-                self.waiting.updateValue((bucket,), tuple(list(h) + part[c].tolist() for h, c in zip(held, ("at_ms", "seq", "status"))))
-                self.handle.registerTimer(end)
-        yield self._frame([])
+                held = self.waiting.getValue((bucket,)) if bucket in known else ([], [], [])
+                self.waiting.updateValue((bucket,), tuple(list(h) + list(e) for h, e in zip(held, zip(*events))))
+                known.add(bucket)
+                first = end if first is None else min(first, end)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # all buckets that have ended, so the rows do not depend on how far the watermark jumped
         end = timerValues.getCurrentWatermarkInMs() // self.bucket_ms * self.bucket_ms
-        last, out = self.last.get() if self.last.exists() else None, []
-        for bucket in sorted(b[0] for b in list(self.waiting.keys()) if (b[0] + 1) * self.bucket_ms <= end):
-            for at_ms, seq, status in sorted(set(zip(*self.waiting.getValue((bucket,))))):
+        last, out = self.last.get(), []
+        held = sorted(b[0] for b in self.waiting.keys())
+        ended = [b for b in held if (b + 1) * self.bucket_ms <= end]
+        few = {b[0]: events for b, events in self.waiting.iterator()} if ended and len(held) <= self.AT_ONCE else {}
+        for bucket in ended:
+            for at_ms, seq, status in sorted(set(zip(*(few[bucket] if few else self.waiting.getValue((bucket,)))))):
                 last = self._until(key, last, at_ms, out)
                 out.append((key[0], seq, status, None))
                 last = (status, at_ms, seq, False)
-            self.waiting.removeKey((bucket,))
+            if len(ended) < len(held):
+                self.waiting.removeKey((bucket,))
+        if ended and len(ended) == len(held):
+            self.waiting.clear()
         last = self._until(key, last, end, out)
+        due = [(b + 1) * self.bucket_ms for b in held[len(ended):][:1]]
         if last is None:
             self.last.clear()
         else:
             self.last.update(last)
-            self.handle.registerTimer(self._after(last[1] + self.ttl_ms))
+            due.append(self._after(last[1] + self.ttl_ms))
             if last[0] == "processing" and not last[3]:
-                self.handle.registerTimer(self._after(last[1] + self.timeout_ms))
-        yield self._frame(out)
+                due.append(self._after(last[1] + self.timeout_ms))
+        if due:
+            self.handle.registerTimer(min(due))
+        return iter([self._frame(out)] if out else [])
 
     def _until(self, key, last, at_ms: int, out: list[tuple]):
         """The last event as known at a later time: reported where it is a phase that lasts too long, forgotten where it is too old."""

@@ -202,6 +202,80 @@ def test_event_time_tracker_forgets_old_jobs(spark, tmp_path):
     assert 2 not in {r["key"][0] for r in store.collect()}
 
 
+def test_event_time_tracker_asks_the_state_seldom():
+    """Each look at the state is a round trip: one timer for a job, and its few waiting buckets are read and cleared together."""
+    import pandas as pd
+
+    asked, held, last = [], {}, []
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def getMapState(self, *_):
+            return Waiting()
+
+        def registerTimer(self, at):
+            asked.append(("timer", at))
+
+        def get(self):
+            return last[-1] if last else None
+
+        def exists(self):
+            return bool(last)
+
+        def update(self, row):
+            last.append(row)
+
+        def clear(self):
+            last.clear()
+
+    class Waiting:
+        def keys(self):
+            return iter(list(held))
+
+        def iterator(self):
+            asked.append(("all",))
+            return iter(list(held.items()))
+
+        def containsKey(self, key):
+            asked.append(("has", key))
+            return key in held
+
+        def getValue(self, key):
+            asked.append(("get", key))
+            return held.get(key)
+
+        def updateValue(self, key, value):
+            held[key] = value
+
+        def removeKey(self, key):
+            asked.append(("remove", key))
+            del held[key]
+
+        def clear(self):
+            asked.append(("clear",))
+            held.clear()
+
+    class Clock:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    tracker = ST.EventTimeTracker(600, 86_400, 600)
+    tracker.init(Handle())
+    batch = pd.DataFrame({"at_ms": [600_000 * i for i in range(50)], "seq": range(50), "status": ["pending"] * 50})
+    assert list(f for f in tracker.handleInputRows((1,), iter([batch]), Clock(0)) if len(f)) == []
+    assert asked == [("timer", 600_000)] and len(held) == 50
+    asked.clear()
+    (out,) = tracker.handleExpiredTimer((1,), Clock(600_000 * 40), None)
+    assert out["seq"].tolist() == list(range(40)) and len(held) == 10
+    assert ("all",) in asked and [a for a in asked if a[0] in ("get", "has")] == [] and asked[-1] == ("timer", 600_000 * 41)
+    asked.clear()
+    (out,) = tracker.handleExpiredTimer((1,), Clock(600_000 * 60), None)
+    assert out["seq"].tolist() == list(range(40, 50)) and not held and ("clear",) in asked
+    assert len([a for a in asked if a[0] == "timer"]) == 1
+
+
 def test_tables_are_files_or_folders(spark, tmp_path):
     frame = events(spark).coalesce(1)
     frame.write.parquet(str(tmp_path / "made"))
