@@ -97,3 +97,14 @@ def test_health_crosses_bucket_borders(spark):
                                   "document_id int, provider string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r["document_id"]: (r["ok"], r["age_ms"]) for r in P.health_asof(asked, probes).collect()}
     assert got == {1: (False, 2000.0), 2: (False, 0.0), 3: (None, None), 4: (True, 14000.0), 5: (None, None), 6: (True, 0.0)}
+
+
+def test_texts_are_bound_once(spark):
+    """The fence is looked for once in a reply, and a value's words are cut once, however often the steps below use them."""
+    replies = spark.createDataFrame([(1, '```json\n{"po_number": {"value": "a, b", "confidence": 1}}\n```')], "document_id int, raw_response string")
+    cleaned = R.clean_replies(replies)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("(?:json)") <= 2
+    boosted = spark.createDataFrame([("acme tools", 0.5, "tools by acme")], "v string, c double, t string").select(
+        R.evidence_boost(F.col("v"), F.col("c"), F.col("t")).alias("c"))
+    assert boosted._jdf.queryExecution().optimizedPlan().toString().count("(?U)") == 1 and boosted.first()["c"] == 0.58
+    assert cleaned.first()["reply_status"] == "clean"
