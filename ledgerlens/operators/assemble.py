@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ledgerlens.constants import BUYER, LINE_ITEM, TOP_LEVEL, TOTALS, VENDOR
 from ledgerlens.functions import numbers as N, text as T
 from ledgerlens.operators.frames import col_or_null, spread
-from ledgerlens.operators.replies import _kind
 
 ITEM_SCHEMA = (
     "line_number int, description string, part_number string, quantity double, unit string, "
@@ -37,24 +36,30 @@ def parse_line_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     """
     keys = [c for c in raw.columns if c != column]
     # parsing costs far more than the bytes tell
-    parsed = spread(raw, *[c for c in ("document_id", column) if c in raw.columns]).withColumn("_v", F.try_parse_json(F.col(column))).withColumn("_kind", _kind(F.col("_v")))
-    elements = (
-        F.when(F.col("_kind") == "array", F.from_json(column, "array<variant>"))
-        .when(F.col("_kind") == "object", F.array("_v"))
-    )
-    # one look at the text spares every field of ordinary items the second lookup
-    maybe_wrapped = F.contains(F.col(column), F.lit('"value"')).alias("_wrapped")
-    rows = parsed.select(*keys, "_kind", maybe_wrapped, F.posexplode_outer(elements).alias("_pos", "_e"))
+    parsed = spread(raw, *[c for c in ("document_id", column) if c in raw.columns]).withColumn("_v", F.try_parse_json(F.col(column)))
+    # text that parses tells its kind by its first character
+    first = F.substring(F.ltrim(F.col(column), F.lit(" \t\n\r")), 1, 1)
+    kind = F.when(F.col("_v").isNull() | (first == "n"), F.lit("null")).when(first == "[", F.lit("array")).when(first == "{", F.lit("object"))
+    parsed = parsed.withColumn("_kind", F.coalesce(kind, F.lit("scalar")))
+
+    def elements(of: str) -> Column:
+        # all fields of an element in one step: a lookup of a key that is missing costs more than everything else here
+        fields = f"struct<{', '.join(f'{n} {of}' for n in LINE_ITEM)}>"
+        return F.when(F.col("_kind") == "array", F.try_variant_get("_v", "$", f"array<{fields}>")).when(
+            F.col("_kind") == "object", F.array(F.try_variant_get("_v", "$", fields)))
+
+    # one look at the text spares ordinary items the second step
+    wrapped = F.when(F.contains(F.col(column), F.lit('"value"')), elements("struct<value variant>")).alias("_wrapped")
+    rows = parsed.select(*keys, "_kind", wrapped, F.posexplode_outer(elements("string")).alias("_pos", "_e"))
 
     def part(name: str) -> Column:
-        inside = F.col("_wrapped") & F.try_variant_get("_e", f"$.{name}.value", "variant").isNotNull()
-        return F.when(inside, F.try_variant_get("_e", f"$.{name}.value", "string")).otherwise(
-            F.try_variant_get("_e", f"$.{name}", "string"))
+        inside = F.get("_wrapped", F.col("_pos"))[name]["value"]
+        return F.when(inside.isNotNull(), F.try_variant_get(inside, "$", "string")).otherwise(F.col("_e")[name])
 
     numbers = ("quantity", "unit_price", "line_total", "tax_rate")
     texts = ("description", "part_number", "unit", "currency", "notes")
     rows = rows.withColumns(
-        {f"_{n}": part(n) for n in (*numbers, *texts, "line_number")} | {"_element": _kind(F.col("_e"))})
+        {f"_{n}": part(n) for n in (*numbers, *texts, "line_number")})
     out = rows.withColumns(
         {n: N.to_number(F.col(f"_{n}")) for n in numbers}
         | {n: F.col(f"_{n}") for n in texts}
@@ -62,7 +67,7 @@ def parse_line_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     reasons = [
         F.when(F.col("_kind") == "null", F.lit("unreadable text")),
         F.when(~F.col("_kind").isin("array", "object"), F.lit("not a list")),
-        F.when(F.col("_element").isNotNull() & (F.col("_element") != "object"), F.lit("not an object")),
+        F.when(F.col("_e").isNull(), F.lit("not an object")),
         F.when(F.coalesce(F.col("description"), F.lit("")) == "", F.lit("missing description")),
         *[F.when(F.col(n) < 0, F.lit(f"{n} is negative")) for n in numbers],
         F.when(F.col("tax_rate") > 1, F.lit("tax_rate is above one")),

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a Python worker holds a few copies of a batch, so batches are bounded by their bytes as well as by their rows
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    # the JVM never compiles a method over 8000 bytes: steps fused beyond that run apart, as methods that are compiled
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # keyed state with timers and expiry needs this store
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
