@@ -91,5 +91,8 @@ def plain_text(c: Column) -> Column:
         large = F.concat(F.rpad(digits, power + 1, "0"), F.lit("."), F.when(rest == "", "0").otherwise(rest))
         return F.when(~shown.contains("E"), shown).otherwise(F.concat(sign, F.when(power < 0, small).otherwise(large)))
 
+    # amounts of this size are shown in plain notation already
+    size = F.abs(c)
+    plain = (c == 0) | ((size >= 1e-3) & (size < 1e7))
     # the text is used many times over: bound once, it is made once
-    return F.transform(F.array(finite(c).cast("string")), shift)[0]
+    return F.when(plain, c.cast("string")).otherwise(F.transform(F.array(finite(c).cast("string")), shift)[0])

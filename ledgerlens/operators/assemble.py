@@ -169,7 +169,7 @@ def item_texts(items: DataFrame, text: Column, numbered: Callable[[Column, Colum
     """
     block = F.floor(F.col("pos") / per_block)
     gathered = items.select("document_id", block.alias("_block"), "pos", text.alias("_text")).groupBy("document_id", "_block").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_text"))), lambda x: x["_text"]).alias("_texts"))
+        F.sort_array(F.collect_list(F.struct("pos", "_text")))["_text"].alias("_texts"))
     if numbered is not None:
         earlier = W.partitionBy("document_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
         gathered = gathered.withColumn("_before", F.coalesce(F.sum(F.size("_texts")).over(earlier), F.lit(0)))
@@ -177,7 +177,7 @@ def item_texts(items: DataFrame, text: Column, numbered: Callable[[Column, Colum
     else:
         shown = F.col("_texts")
     blocks = gathered.select("document_id", "_block", F.size("_texts").alias("_n"), F.array_join(shown, separator).alias("_joined"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_joined"))), lambda b: b["_joined"])
+    whole = F.sort_array(F.collect_list(F.struct("_block", "_joined")))["_joined"]
     return blocks.groupBy("document_id").agg(F.array_join(whole, separator).alias("items_text"), F.sum("_n").alias("items_count"))
 
 

@@ -179,30 +179,44 @@ def export_xml(po: DataFrame, items: DataFrame, result_id: Column | None = None,
     """One ``PurchaseOrder`` text per record, however many items it has (S9); null gives no element."""
     rid = result_id if result_id is not None else F.col("document_id")
     text = lambda c, n: number_text(c) if n in _NUMBERS else c.cast("string")
-    # fragments are one line each: what stands between the tags of an element is its text
-    xml = lambda body, tag: F.regexp_replace(F.to_xml(body, {"rowTag": tag}), r">\s*\n\s*<", "><")
+
+    def without(shown: Column, end: str) -> Column:
+        return F.when(F.endswith(shown, F.lit(end)), F.substring(shown, F.lit(1), F.length(shown) - len(end))).otherwise(shown)
+
+    def one_line(df: DataFrame, *names: str) -> DataFrame:
+        # without indents a fragment is one line and a line break, and only values can hold more: blank ones that do become empty
+        cut = df.withColumns({n: without(F.col(n), "\n") for n in names})
+        clean = lambda c: F.when(F.contains(c, F.lit("\n")), F.regexp_replace(c, r">\s*\n\s*<", "><")).otherwise(c)
+        return cut.withColumns({n: clean(F.col(n)) for n in names})
+
+    # made as columns of their own, as each is used several times
+    xml = lambda body, tag: F.to_xml(body, {"rowTag": tag, "indent": ""})
 
     def section(name: str, keys) -> Column:
         body = F.struct(*[text(F.col(f"{name}.{k}"), k).alias(_camel(k)) for k in keys])
         return F.when(F.col(name).isNotNull(), body).alias(_camel(name))
 
     columns = items.select("document_id", "pos", *item_columns(items))
-    item = xml(F.struct(*[text(F.col(k), k).alias(_camel(k)) for k in LINE_ITEM]), "LineItem")
+    item = xml(F.struct(*[text(F.col(k), k).alias(_camel(k)) for k in LINE_ITEM]), "LineItem").alias("_item")
     # the item's own start tag takes its number
-    numbered = lambda n, x: F.concat(F.lit('<LineItem index="'), n.cast("string"), F.lit('"'), F.substring(x, 10, F.length(x)))
-    texts = item_texts(columns, item, numbered)
+    numbered = lambda n, x: F.concat(F.lit('<LineItem index="'), n.cast("string"), x)
+    shown = one_line(columns.select("document_id", "pos", item), "_item")
+    texts = item_texts(shown, F.concat(F.lit('"'), F.substring("_item", 10, 1 << 30)), numbered)
     listed = F.when(F.col("items_count") > 0, F.concat(
         F.lit('<LineItems count="'), F.col("items_count").cast("string"), F.lit('">'), F.col("items_text"), F.lit("</LineItems>")))
     top = ("po_number", "po_date", "due_date", "payment_terms", "delivery_terms", "currency")
     header = F.struct(*[F.col(k).alias(_camel(k)) for k in top], section("vendor", VENDOR), section("buyer", BUYER)).alias("Header")
-    totals = section("totals", ("subtotal", "tax_amount", "shipping", "discount", "grand_total", "currency"))
+    totals = F.struct(*[text(F.col(f"totals.{k}"), k).alias(_camel(k)) for k in ("subtotal", "tax_amount", "shipping", "discount", "grand_total", "currency")])
     stamp = [F.lit(generated_at).alias("_generated_at")] if generated_at else []
-    before = xml(F.struct(*stamp, rid.cast("string").alias("_result_id"), header), "PurchaseOrder")
-    after = F.regexp_extract(xml(F.struct(totals), "PurchaseOrder"), "(?s)<Totals>.*</Totals>", 0)
-    # the start with the header, then items and totals, then the end tag
-    open_ = F.regexp_replace(F.regexp_replace(before, "</PurchaseOrder>$", ""), r"/>$", ">")
-    body = F.concat(open_, F.coalesce(listed, F.lit("")), after, F.lit("</PurchaseOrder>"))
-    return po.join(texts, "document_id", "left").select("document_id", body.alias("body"))
+    head = xml(F.struct(*stamp, rid.cast("string").alias("_result_id"), header), "PurchaseOrder")
+    tail = F.when(F.col("totals").isNotNull(), xml(totals, "Totals"))
+    joined = po.join(texts, "document_id", "left").select("document_id", head.alias("_head"), listed.alias("_listed"), tail.alias("_tail"))
+    # the start with the header, then items and totals, then the end tag; totals without a value give no element
+    cut = one_line(joined, "_head", "_tail").withColumn("_head", without(F.col("_head"), "</PurchaseOrder>"))
+    open_ = F.when(F.endswith(F.col("_head"), F.lit("/>")), F.concat(without(F.col("_head"), "/>"), F.lit(">"))).otherwise(F.col("_head"))
+    body = F.concat(open_, F.coalesce("_listed", F.lit("")),
+                    F.when(F.startswith(F.col("_tail"), F.lit("<Totals>")), F.col("_tail")).otherwise(F.lit("")), F.lit("</PurchaseOrder>"))
+    return cut.select("document_id", body.alias("body"))
 
 
 # --- outbox -------------------------------------------------------------------------------------

@@ -62,6 +62,21 @@ def test_item_fields_are_read_in_one_step(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
 
 
+def test_xml_is_written_without_indents(spark):
+    """Blank values with a line break are empty, other line breaks stay; amounts are plain at any size."""
+    po = A.build_po(spark.createDataFrame(
+        [(1, "notes", "n", 0.9, "local"), (1, "vendor.name", "a\nb <&>", 0.9, "local"), (1, "totals.subtotal", "0.0005", 0.9, "local"), (1, "totals.shipping", "12345678.5", 0.9, "local")],
+        "document_id int, field_path string, value string, confidence double, source_model string"))
+    items = spark.createDataFrame([(1, 0, " \n ", 9999999.5), (1, 1, "x", 0.001), (1, 2, "y", 1e7)], "document_id int, pos int, description string, quantity double")
+    out = E.export_xml(po, items)
+    root = ET.fromstring(out.first()["body"])
+    assert root.findtext("Header/Vendor/Name") == "a\nb <&>"
+    assert (root.findtext("Totals/Subtotal"), root.findtext("Totals/Shipping")) == ("0.0005", "12345678.5")
+    assert [(i.findtext("Description"), i.findtext("Quantity")) for i in root.iter("LineItem")] == [("", "9999999.5"), ("x", "0.001"), ("y", "10000000.0")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_xml((rowTag" not in plan and "regexp_extract(" not in plan
+
+
 def test_record(spark):
     po = {r["document_id"]: r for r in A.build_po(fields(spark)).collect()}
     assert po[1]["po_number"] == "PO-1" and po[1]["currency"] is None and po[1]["buyer"] is None
