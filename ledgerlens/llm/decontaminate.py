@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import lean, table
 from ledgerlens.plans.registry import Query
 
 WINDOW = 13
@@ -205,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         automaton = spark.sparkContext.broadcast(vars(Automaton([(r["id"], words(r["text"].encode())) for r in part], window)))
         keep = keep_text or g < groups - 1
         schema = T.StructType([f for f in out.schema if keep or f.name != text])
-        out = out.mapInArrow(_scan(automaton, text, keep), schema)
+        out = out.mapInArrow(lean(_scan(automaton, text, keep)), schema)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
     return out.withColumns({"n_words": F.col("_count"), "n_hit": hit, "items": F.col("_items"), "spans": F.col("_spans")}).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words"))).drop("_spans", "_items", "_count")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ledgerlens.llm.common import discard, stored, table
+from ledgerlens.llm.common import discard, lean, stored, table
 from ledgerlens.plans.registry import Query
 
 WIDTH_BITS, ORDERS = 15, (1, 2, 3)
@@ -154,7 +154,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", width_bit
     The driver sees one row for each language and one of bits for each cell; counts stay where they are.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
-    sums = rows.mapInArrow(_count(width_bits), "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(lean(_count(width_bits)), "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     sums = stored(sums, "ngrams")
     totals = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep_text: bool =
     keep = [c for c in docs.columns if keep_text or c != text]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text, keep), schema)
+    return docs.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(model), text, keep)), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

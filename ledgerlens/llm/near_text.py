@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.common import components, stored, table
+from ledgerlens.llm.common import components, lean, stored, table
 from ledgerlens.plans.registry import Query
 
 WORDS, THRESHOLD = 5, (80, 100)
@@ -314,7 +314,7 @@ def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, th
     rest = cut.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "stretch", "b", "text", "digest")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = first.union(rest).repartition(parts, "a", "stretch").sortWithinPartitions("a", "stretch", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_verify(words, threshold), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lean(_verify(words, threshold)), "a bigint, b bigint").distinct()
 
 
 def _named(found: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(docs.mapInArrow(_sign(words), f"doc_id {kind}, version bigint, n_shingles bigint, digest binary, sign binary"), "signed")
+    signed = stored(docs.mapInArrow(lean(_sign(words)), f"doc_id {kind}, version bigint, n_shingles bigint, digest binary, sign binary"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.common import numbered, stored, table
+from ledgerlens.llm.common import lean, numbered, stored, table
 from ledgerlens.plans.registry import Query
 
 CAPACITY, END = 1024, 2
@@ -37,6 +37,8 @@ PARTS, STEPS = 3, 400
 #: Chunks whose ids a Python worker keeps, about 200 bytes each. The first ones met are the frequent ones; others are
 #: encoded each time they come.
 KNOWN = 800_000
+#: Chunks encoded in one call: what the tokenizer returns for one takes a hundred times its ids.
+ENCODED = 512
 #: Pieces of a length that one window ranks, about; a length has as many windows as its count asks for.
 RANKED = 4096
 
@@ -70,7 +72,7 @@ class Encoder:
         ids = list(map(self.known.get, chunks))
         if None in ids:
             new = list({c: None for c, i in zip(chunks, ids, strict=True) if i is None})
-            made = dict(zip(new, self._ids(new), strict=True))
+            made = {c: i for k in range(0, len(new), ENCODED) for c, i in zip(new[k:k + ENCODED], self._ids(new[k:k + ENCODED]), strict=True)}
             ids = [made[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
             if len(self.known) < KNOWN:
                 self.known.update(made)
@@ -118,7 +120,7 @@ def pieces(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
     """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_pieces(file, capacity, end), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.mapInArrow(lean(_pieces(file, capacity, end)), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def patterns(capacity: int, have: np.ndarray) -> np.ndarray:
