@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.common import discard, stored, table
+from ledgerlens.llm.common import discard, lean, stored, table
 from ledgerlens.plans.registry import Query
 
 LEAST_WORDS = 5
@@ -75,7 +75,7 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, version, start, end, first_doc, first_start) of every unit to remove; ``version`` is a hash of the text."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    units = stored(docs.mapInArrow(_units(separator, least_words), f"doc_id {kind}, version bigint, start int, end int, digest binary"), "units")
+    units = stored(docs.mapInArrow(lean(_units(separator, least_words)), f"doc_id {kind}, version bigint, start int, end int, digest binary"), "units")
     firsts = units.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return units.join(firsts, "digest").where("doc_id != first.doc_id or start != first.start").select(
         "doc_id", "version", "start", "end", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
@@ -156,10 +156,11 @@ def _windows(run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, (text, wanted) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
-                words, starts, ends = _located(text)
-                for w in wanted:
-                    rows += [(i, _digest(words[at:at + run_words]), at, starts[at], ends[at + run_words - 1]) for at in range(w["at"], w["at"] + w["n"])]
+            cuts, first, many = _spread(b.column("wanted"), "at", "n")
+            for i, text in enumerate(b.column("text")):
+                words, starts, ends = _located(text.as_py())
+                for w in range(cuts[i], cuts[i + 1]):
+                    rows += [(i, _digest(words[at:at + run_words]), at, starts[at], ends[at + run_words - 1]) for at in range(first[w], first[w] + many[w])]
                     if len(rows) >= BATCH_ROWS:
                         yield _batch(b, rows, names, types)
                         rows = []
@@ -168,20 +169,27 @@ def _windows(run_words: int):
     return run
 
 
+def _spread(lists: pa.ListArray, one: str, other: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of each list among all, and two fields of the structs in them: a Python object for each would take a hundred times their bytes."""
+    return lists.offsets.to_numpy(), lists.values.field(one).to_numpy(), lists.values.field(other).to_numpy()
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each row in order, those that overlap or touch as one."""
     for b in batches:
-        out = []
-        for spans in b.column("spans").to_pylist():
-            made = []
-            for start, end in sorted((s["start"], s["end"]) for s in spans):
-                if made and start <= made[-1]["end"]:
-                    made[-1]["end"] = max(made[-1]["end"], end)
-                else:
-                    made.append({"start": start, "end": end})
-            out.append(made)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(out, kind)], ["doc_id", "version", "spans"])
+        cuts, start, end = _spread(b.column("spans"), "start", "end")
+        bounds, starts, ends = [0], [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo < hi:
+                order = np.argsort(start[lo:hi], kind="stable")
+                s, e = start[lo:hi][order], np.maximum.accumulate(end[lo:hi][order])
+                apart = np.flatnonzero(s[1:] > e[:-1])
+                starts.append(s[np.concatenate([[0], apart + 1])])
+                ends.append(e[np.concatenate([apart, [hi - lo - 1]])])
+            bounds.append(bounds[-1] + (len(starts[-1]) if lo < hi else 0))
+        both = [pa.array(np.concatenate([np.empty(0, np.int32), *x]).astype(np.int32)) for x in (starts, ends)]
+        made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(both, ["start", "end"]))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), made], ["doc_id", "version", "spans"])
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -194,7 +202,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     apart = ~same_text | (F.col("at") >= F.col("first.at") + run_words)
 
     stretches = stored(docs.mapInArrow(
-        _stretches(run_words, gram), f"doc_id {kind}, version bigint, gram bigint, digest bigint, at int, n int, start int, end int"), "stretches")
+        lean(_stretches(run_words, gram)), f"doc_id {kind}, version bigint, gram bigint, digest bigint, at int, n int, start int, end int"), "stretches")
     # two numbers for each group; what stands once is never sorted or joined again
     digests = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     # written, so that the join can split a group that very many stretches share
@@ -211,7 +219,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     wanted = kinds.where("mixed").select("first.*", "n").union(near.select("doc_id", "version", "at", "n")).union(near.select("first.*", "n"))
     wanted = wanted.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n")).alias("wanted"))
     windows = stored(docs.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted").mapInArrow(
-        _windows(run_words), f"doc_id {kind}, version bigint, digest binary, at int, start int, end int"), "windows")
+        lean(_windows(run_words)), f"doc_id {kind}, version bigint, digest binary, at int, start int, end int"), "windows")
     firsts = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     found = stored(whole.union(windows.join(firsts, "digest").where(apart).select("doc_id", "version", "start", "end")), "passages")
     for table_ in (shared, kinds, windows):
@@ -225,7 +233,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     units = stored(repeated_units(docs, doc_id, text, separator, least_words).select("doc_id", "version", "start", "end"), "repeats")
     found = units.union(repeated_passages(docs, doc_id, text, run_words, (run_words + 1) // 2))
     found = found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return found.mapInArrow(_merged, found.schema)
+    return found.mapInArrow(lean(_merged), found.schema)
 
 
 def remove_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -1,7 +1,9 @@
 """Python workers hold little beside their batch, and give it back. No session is needed."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import common, packing
@@ -42,3 +44,34 @@ def test_stages_of_the_pipeline_run_lean():
     for used, name in ((packing.pieces, "_pieces"), (language.train, "_count"), (language.identify, "_predict"),
                        (decontaminate.contamination, "_scan"), (near_text.one_of_each, "_sign")):
         assert f"lean({name}(" in inspect.getsource(inspect.getmodule(used))
+
+
+def _spans(rows):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([[{"start": s, "end": e} for s, e in r] for r in rows], kind)],
+                                      ["doc_id", "version", "spans"])
+
+
+def test_merged_spans_against_marked_characters():
+    from ledgerlens.llm.paragraphs import _merged
+
+    rnd = random.Random(5)
+    rows = [[(s := rnd.randrange(60), s + rnd.randint(1, 9)) for _ in range(rnd.randint(0, 8))] for _ in range(200)] + [[(0, 50), (3, 5), (50, 51), (52, 53)]]
+    got = next(_merged(iter([_spans(rows)])))
+    for row, made in zip(rows, got.column("spans").to_pylist(), strict=True):
+        marked = sorted({c for s, e in row for c in range(s, e)})
+        want = [c for c in marked if c - 1 not in marked], [c + 1 for c in marked if c + 1 not in marked]
+        assert ([m["start"] for m in made], [m["end"] for m in made]) == want
+
+
+def test_merging_many_spans_makes_no_object_for_each():
+    from ledgerlens.llm.paragraphs import _merged
+
+    batch = _spans([[(7 * i, 7 * i + 5 + i % 5) for i in range(50_000)]])
+    tracemalloc.start()
+    try:
+        assert len(next(_merged(iter([batch]))).column("spans")[0]) == 20_001
+        assert tracemalloc.get_traced_memory()[1] < 4e6  # 0.4 MB of spans
+    finally:
+        tracemalloc.stop()
