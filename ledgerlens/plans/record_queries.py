@@ -144,7 +144,9 @@ _ITEM_JSON = _pairs(
 def results(spark, d):
     """The assembled result row per document."""
     known = inputs(spark, d)
-    out = A.assemble_results(merged(spark, d, known), flags(spark, d, known), po_items(spark, d, known))
+    # a union forgets that its rows lie by document, a table of them does not
+    raised = written(flags(spark, d, known), "flags")
+    out = A.assemble_results(merged(spark, d, known), raised, po_items(spark, d, known))
     return out.select("document_id", "po_number", F.col("vendor.name").alias("vendor_name"), "overall_confidence",
                       F.array_join("fields_flagged", ",").alias("fields_flagged"), "errors", "warnings",
                       F.size("fields").alias("n_fields"), F.col("fields")["vendor.name"]["source"].alias("vendor_source"),
