@@ -187,9 +187,9 @@ left join (select document_id, count(*) filter (severity = 'error') errors, coun
            string_agg("rule", ',' order by "rule") rules from raised group by document_id) s using (document_id)"""
 
 
-def result_rows(fields, items):
-    """Results of field rows, with the flags of the records that these rows make."""
-    raised = R.validate(A.flat_header(A.build_po(fields)), items, AS_OF)
+def result_rows(fields, items, keep=lambda flags: flags):
+    """Results of field rows, with the flags of the records that these rows make; ``keep`` may write these."""
+    raised = keep(R.validate(A.flat_header(A.build_po(fields)), items, AS_OF))
     out = A.assemble_results(fields, raised)
     human = F.size(F.filter(F.map_values("fields"), lambda f: f["source"] == "human")).cast("long")
     return out.select("document_id", "po_number", F.col("vendor.name").alias("vendor_name"), "overall_confidence",
@@ -227,7 +227,8 @@ def reviewed_results(spark, d):
     documents = known["fx_po"].select("document_id").distinct()
     fixes = view(spark, d, "fx_corrections").join(documents, "document_id", "left_semi")
     items = po_items(spark, d, known).join(documents, "document_id", "left_semi")
-    return result_rows(written(V.apply_corrections(fields, fixes), "reviewed"), items)
+    reviewed = written_in_place(V.apply_corrections(fields, fixes), "reviewed")
+    return result_rows(reviewed, items, lambda raised: written(raised, "flags"))
 
 
 @query(f"""select document_id, coalesce(array_to_string(list_sort(list(field_path) filter (not done)), ','), '') as fields_remaining,
