@@ -338,11 +338,12 @@ _META = f"""(select document_id, '{{"result_id":"r' || document_id || '","docume
   join {_META} m using (document_id)""")
 def export_json_metadata(spark, d):
     """Extracted records with the block that says where every value comes from; totals that were given but not read are ``{}``."""
-    fields = merged(spark, d)
+    known = inputs(spark, d)
+    fields = merged(spark, d, known)
     ran = fields.groupBy("document_id").agg(F.bool_or(F.col("source_model") == "groq").alias("fallback_triggered"))
-    known = A.overall_confidence(fields).join(ran, "document_id").withColumns(
+    about = A.overall_confidence(fields).join(ran, "document_id").withColumns(
         {"result_id": F.concat(F.lit("r"), F.col("document_id")), "primary_model": F.lit("local")})
-    return E.export_json(A.build_po(fields), po_items(spark, d), E.json_metadata(known, fields, AS_OF))
+    return E.export_json(A.build_po(fields), po_items(spark, d, known), E.json_metadata(about, fields, AS_OF))
 
 
 def _txt(c: str) -> str:
