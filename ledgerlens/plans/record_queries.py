@@ -291,9 +291,9 @@ def po_items(spark, d, known=None):
     return view(spark, d, "fx_items", known).drop("suppkey", "ship_date")
 
 
-def records(spark, d):
+def records(spark, d, known=None):
     """Orders as nested records with the reviewers' values."""
-    return E.apply_corrections(A.nest_header(view(spark, d, "fx_po")), view(spark, d, "fx_corrections"))
+    return E.apply_corrections(A.nest_header(view(spark, d, "fx_po", known)), view(spark, d, "fx_corrections"))
 
 
 RECORD = f"""(select po.* replace (coalesce(c.corrected_value, vendor_name) as vendor_name), s.corrected_value as ship_to from {PO} po
@@ -318,7 +318,8 @@ BODIES = f"""(select document_id, {_PO_JSON} as body from {RECORD} r left join (
 
 @query(f"select * from {BODIES} b")
 def export_json(spark, d):
-    return E.export_json(records(spark, d), po_items(spark, d))
+    known = inputs(spark, d)
+    return E.export_json(records(spark, d, known), po_items(spark, d, known))
 
 
 _META = f"""(select document_id, '{{"result_id":"r' || document_id || '","document_id":"' || document_id || '","overall_confidence":'

@@ -18,7 +18,7 @@ def no_broadcast(spark):
 
 
 # corrections are shuffled, a few rows
-@pytest.mark.parametrize("name, most", [("extracted_results", 0), ("reviewed_results", 0), ("results", 0), ("export_json_metadata", 0)])
+@pytest.mark.parametrize("name, most", [("extracted_results", 0), ("reviewed_results", 0), ("results", 0), ("export_json_metadata", 0), ("export_json", 2)])
 def test_fields_and_items_are_not_shuffled_again(spark, sf_dir, no_broadcast, name, most):
     assert plan(QUERIES[name].run(spark, sf_dir)).count("Exchange hashpartitioning") <= most
 
