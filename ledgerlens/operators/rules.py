@@ -220,7 +220,10 @@ def header_flags(
         flag.entry(RULE_ORDER.get(name, 1000) + i)
         for name, rule in chosen.items() for i, flag in enumerate(rule(day))
     ]
-    return joined.select("document_id", F.inline(F.array_compact(F.array(*entries))))
+    # as a column of its own the array is made by compiled code; in a generator or below a lambda it is not. The outer form
+    # keeps Spark from filtering on the array first, which would make it twice; rules that do not hit are null rows
+    listed = joined.select("document_id", F.array(*entries).alias("_flags"))
+    return listed.select("document_id", F.inline_outer("_flags")).filter(F.col("rule_order").isNotNull())
 
 
 def item_flags(items: DataFrame) -> DataFrame:

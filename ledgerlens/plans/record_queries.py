@@ -532,7 +532,9 @@ def stream_corrections(spark, d):
 def stream_results(spark, d):
     """Results kept up to date by three batches of corrections, odd ones first."""
     base = f"{work_dir(spark)}/maintained-{uuid.uuid4().hex}"
-    MT.prepare(merged(spark, d).drop("disagrees"), po_items(spark, d), result_rows, base)
+    known = inputs(spark, d)
+    first = lambda fields, items: result_rows(fields, items, lambda raised: written(raised, "flags"))
+    MT.prepare(merged(spark, d, known).drop("disagrees"), po_items(spark, d, known), first, base)
     fixes = view(spark, d, "fx_corrections")
     for part in (1, 2, 0):
         fixes.filter(F.col("seq") % 3 == part).write.mode("append").parquet(f"{base}/in/part={part}")

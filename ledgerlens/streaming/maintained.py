@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ledgerlens.operators import review as V
-from ledgerlens.operators.frames import latest
+from ledgerlens.operators.frames import latest, stored
 from ledgerlens.streaming.streams import read_back
 
 BUCKETS = 64
@@ -31,13 +31,14 @@ def bucket_of(document_id: Column) -> Column:
 
 
 def prepare(fields: DataFrame, items: DataFrame, compute: Compute, folder: str) -> None:
-    """Write the tables that batches read, and the results without corrections as batch -1."""
+    """Write the tables that batches read, and the results without corrections as batch -1.
+
+    Both inputs are read twice, so they should be tables; those of ``frames.written`` give their results without a shuffle.
+    """
     for name, rows in (("fields", fields), ("items", items)):
         cut = rows.withColumn("bucket", bucket_of(F.col("document_id")))
         cut.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
-    spark = fields.sparkSession
-    own = [spark.read.parquet(f"{folder}/{name}").drop("bucket") for name in ("fields", "items")]
-    compute(*own).write.mode("overwrite").parquet(f"{folder}/results/batch=-1")
+    compute(fields, items).write.mode("overwrite").parquet(f"{folder}/results/batch=-1")
 
 
 def maintain(corrections: DataFrame, compute: Compute, folder: str) -> None:
@@ -51,8 +52,9 @@ def maintain(corrections: DataFrame, compute: Compute, folder: str) -> None:
         buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # BUCKETS at most
 
         def of_touched(name: str) -> DataFrame:
+            # the few rows of a batch, which several steps read: the buckets are looked through once
             rows = spark.read.parquet(f"{folder}/{name}").filter(F.col("bucket").isin(buckets))
-            return rows.join(touched, ["bucket", "document_id"], "left_semi").drop("bucket")
+            return stored(rows.join(touched, ["bucket", "document_id"], "left_semi").drop("bucket"), f"touched_{name}")
 
         made = Observation()
         fields = of_touched("fields")
@@ -63,8 +65,8 @@ def maintain(corrections: DataFrame, compute: Compute, folder: str) -> None:
         out.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
         new.join(spark.read.parquet(f"{folder}/results/batch=-1").select("document_id"), "document_id", "left_anti").write.mode(
             "overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
-        counted = [(len(buckets), made.get["n_documents"])]
-        spark.createDataFrame(counted, "n_buckets int, n_documents long").write.mode("overwrite").parquet(f"{folder}/touched/batch={batch_id}")
+        counted = spark.range(1).select(F.lit(len(buckets)).cast("int").alias("n_buckets"), F.lit(made.get["n_documents"]).cast("long").alias("n_documents"))
+        counted.write.mode("overwrite").parquet(f"{folder}/touched/batch={batch_id}")
 
     (corrections.writeStream.foreachBatch(update).option("checkpointLocation", f"{folder}/checkpoint")
      .trigger(availableNow=True).start().awaitTermination())
